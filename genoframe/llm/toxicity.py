@@ -23,6 +23,8 @@ from ._common import arrow_batches, written
 SAMPLE = 10_000
 #: Mined voters and classifier features at most.
 VOTERS, FEATURES = 160, 4096
+#: Chi-square that a feature needs; far beyond what chance gives among a million features.
+LEAST_CHI = 30.0
 #: Beginnings of words that are features, in characters.
 STEMS = (3, 4, 5, 6)
 
@@ -95,7 +97,11 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> Label
 
 
 def logistic(rows: list[np.ndarray], n: int, target: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias over binary features (row lists of indices), by Adam on soft targets."""
+    """Weights and bias over binary features (row lists of indices), by Adam on soft targets.
+
+    Weights are kept at 0 or above: features are evidence of label 1, and no habit of a writer
+    or of a kind of page can outweigh it.
+    """
     sizes = np.array([len(r) for r in rows])
     at = np.concatenate(rows) if sizes.sum() else np.empty(0, np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
@@ -109,6 +115,7 @@ def logistic(rows: list[np.ndarray], n: int, target: np.ndarray, steps: int = 40
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        np.maximum(w[:n], 0, out=w[:n])
     return w[:n], float(w[n])
 
 
@@ -163,7 +170,7 @@ def fit(docs: list[np.ndarray], names: list[str], style: np.ndarray, labels: np.
     quiet = (votes.sum(axis=1, keepdims=True) + style[:, 2:3] == 0).astype(np.float64)
     votes = np.concatenate((votes, style, annotated, 1 - annotated, quiet), axis=1)
     model = label_model(votes, labels)
-    chosen = order[:FEATURES]
+    chosen = [k for k in order if chi[k] >= LEAST_CHI and a[k] * n0 > b[k] * n1][:FEATURES]
     w, bias = logistic(picked(chosen), len(chosen), model.posterior(votes))
     return Classifier({names[k]: float(w[j]) for j, k in enumerate(chosen) if abs(w[j]) > 1e-3}, bias), model
 
