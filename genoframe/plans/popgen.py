@@ -71,11 +71,11 @@ def fst_windows(spark, d):
 
 
 def linkage(spark, d):
-    return P.linkage(genotypes(spark, d), 60).select("chrom", "pos1", "pos2", "n", _r("r2", 9))
+    return P.linkage(genotypes(spark, d), 60).select("chrom", "pos1", "pos2", "n", _r("r2", 12))
 
 
 def haplotype_linkage(spark, d):
-    return P.haplotype_linkage(genotypes(spark, d), 40).select("chrom", "pos1", "pos2", "n", _r("r2", 9), _r("d"), _r("d_prime", 5))
+    return P.haplotype_linkage(genotypes(spark, d), 40).select("chrom", "pos1", "pos2", "n", _r("r2", 12), _r("d"), _r("d_prime", 5))
 
 
 def relatedness(spark, d):
@@ -177,9 +177,9 @@ QUERIES = {
     "weir_cockerham_fst": (fst, gt_sql("SELECT chrom, pos, round(a, 6) AS a, round(abc, 6) AS abc, round(fst, 5) AS fst FROM f", _AL, _POP, _FST)),
     "fst_windows": (fst_windows, gt_sql("""SELECT chrom, ((pos - 1) // 500) * 500 + 1 AS bin_start, count(*) AS sites, round(sum(a) / sum(abc), 5) AS weighted, round(avg(fst), 5) AS mean
       FROM f WHERE fst IS NOT NULL GROUP BY ALL""", _AL, _POP, _FST)),
-    "linkage_r2": (linkage, gt_sql("""SELECT chrom, pos1, pos2, n, round(cov * cov / (vx * vy), 9) AS r2 FROM (
+    "linkage_r2": (linkage, gt_sql("""SELECT chrom, pos1, pos2, n, round(cov * cov / (vx * vy), 12) AS r2 FROM (
       SELECT chrom, pos1, pos2, count(*) AS n, covar_pop(g, h) AS cov, var_pop(g) AS vx, var_pop(h) AS vy FROM ld GROUP BY ALL) WHERE n >= 2 AND vx > 1e-12 AND vy > 1e-12""", _LD)),
-    "haplotype_linkage": (haplotype_linkage, gt_sql("""SELECT chrom, pos1, pos2, n, round(d * d / ((pa - pa * pa) * (pb - pb * pb)), 9) AS r2, round(d, 6) AS d,
+    "haplotype_linkage": (haplotype_linkage, gt_sql("""SELECT chrom, pos1, pos2, n, round(d * d / ((pa - pa * pa) * (pb - pb * pb)), 12) AS r2, round(d, 6) AS d,
       round(d / nullif(CASE WHEN d >= 0 THEN least(pa * (1 - pb), (1 - pa) * pb) ELSE least(pa * pb, (1 - pa) * (1 - pb)) END, 0), 5) AS d_prime FROM hd""", _HAP)),
     "relatedness": (relatedness, gt_sql("""SELECT s1, s2, count(*) AS sites, round(avg(CASE WHEN s1 = s2 THEN 1 + (g * g - (1 + 2 * p) * g + 2 * p * p) / (2 * p * (1 - p)) ELSE (g - 2 * p) * (h - 2 * p) / (2 * p * (1 - p)) END), 5) AS a_jk
       FROM (SELECT x.sample AS s1, y.sample AS s2, x.a1 + x.a2 AS g, y.a1 + y.a2 AS h, alt / n AS p FROM v x JOIN v y USING (chrom, pos) JOIN c USING (chrom, pos)
