@@ -68,8 +68,8 @@ class LabelModel:
     prior: float
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = np.log(self.fire1 / self.fire0), np.log((1 - self.fire1) / (1 - self.fire0))
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * yes) + (1 - votes) @ (self.weight * no)
+        """Posterior of label 1.  Only votes are evidence: a voter of one language says nothing about texts in another."""
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.fire1 / self.fire0))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -96,22 +96,26 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> Label
     return model
 
 
-def logistic(rows: list[np.ndarray], n: int, target: np.ndarray, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: list[np.ndarray], n: int, target: np.ndarray, steps: int = 600, rate: float = 0.05, ridge: float = 1e-6, keep: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias over binary features (row lists of indices), by Adam on soft targets.
 
     Weights are kept at 0 or above: features are evidence of label 1, and no habit of a writer
-    or of a kind of page can outweigh it.
+    or of a kind of page can outweigh it.  Each step sees a random share ``keep`` of the features,
+    so that one of them has to be enough.
     """
     sizes = np.array([len(r) for r in rows])
     at = np.concatenate(rows) if sizes.sum() else np.empty(0, np.int64)
     of = np.repeat(np.arange(len(rows)), sizes)
     w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    rng = np.random.default_rng(seed)
     mean = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
     w[n] = np.log(mean / (1 - mean))
     for t in range(1, steps + 1):
-        z = np.bincount(of, w[at], len(rows)) + w[n]
+        some = rng.random(len(at)) < keep
+        i, r = at[some], of[some]
+        z = np.bincount(r, w[i], len(rows)) + w[n]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
-        g = np.append(np.bincount(at, error[of], n) + ridge * w[:n], error.sum())
+        g = np.append(np.bincount(i, error[r], n) + ridge * w[:n], error.sum())
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -119,6 +123,19 @@ def logistic(rows: list[np.ndarray], n: int, target: np.ndarray, steps: int = 40
     return w[:n], float(w[n])
 
 
+def calibrated(z: np.ndarray, target: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Scale and bias of the summed weights that fit the soft targets best, by Newton steps on whole texts."""
+    x = np.stack((z, np.ones(len(z))), axis=1)
+    top = max(1e-9, z.max(initial=0.0))
+    x[:, 0] /= top
+    b = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        b += np.clip(np.linalg.solve(h, x.T @ (target - p) - 1e-3 * b), -2, 2)
+    return max(0.0, float(b[0])) / top, float(b[1])
+
+
 @dataclass
 class Classifier:
     """Weights of words and word beginnings, and the bias."""
@@ -170,8 +187,11 @@ def fit(docs: list[np.ndarray], names: list[str], style: np.ndarray, labels: np.
     quiet = (votes.sum(axis=1, keepdims=True) + style[:, 2:3] == 0).astype(np.float64)
     votes = np.concatenate((votes, style, annotated, 1 - annotated, quiet), axis=1)
     model = label_model(votes, labels)
-    chosen = [k for k in order if chi[k] >= LEAST_CHI and a[k] * n0 > b[k] * n1][:FEATURES]
-    w, bias = logistic(picked(chosen), len(chosen), model.posterior(votes))
+    chosen = [k for k in order if chi[k] >= LEAST_CHI and lift[k]][:FEATURES]
+    rows = picked(chosen)
+    w, bias = logistic(rows, len(chosen), model.posterior(votes))
+    scale, shift = calibrated(np.array([w[r].sum() for r in rows]), model.posterior(votes))
+    w, bias = w * scale, shift
     return Classifier({names[k]: float(w[j]) for j, k in enumerate(chosen) if abs(w[j]) > 1e-3}, bias), model
 
 
