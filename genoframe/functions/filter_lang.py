@@ -168,7 +168,7 @@ def _pair(op: str, a: Column, b: Column) -> Column:
 def _lists(op: str, a: Column, b: Column) -> Column:
     """Comma lists: any element with any element; missing elements as the module says."""
     if op in ("~", "!~"):
-        hit = F.exists(F.split(a, ","), lambda x: x.rlike(b))
+        hit = F.exists(F.split(a, ","), lambda x: F.rlike(x, b))
         return F.when(a.isNull() | (a == ".") | b.isNull(), False).otherwise(hit if op == "~" else ~hit)
     missing_a, missing_b = a.isNull() | (a == "."), b.isNull()
     met = F.exists(F.split(a, ","), lambda x: F.exists(F.split(b, ","), lambda y: _pair(op, x, y)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals, popgen
+from . import alignments, intervals, popgen, reads, variants
 
-MODULES = (intervals, popgen)
+MODULES = (intervals, popgen, alignments, reads, variants)
 
 
 def queries() -> dict:
