@@ -53,6 +53,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` as one column ``_row`` beside key columns, so that no column of theirs can clash."""
+    return docs.select(F.struct("*").alias("_row"), *[c.alias(name) for name, c in keys.items()])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows behind :func:`packed`, with their own columns."""
+    return df.select("_row.*")
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

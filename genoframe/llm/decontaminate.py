@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import alnum_word_count, alnum_words, text_key, written
+from ._common import alnum_word_count, alnum_words, packed, text_key, unpacked, written
 
 #: Most distinct windows whose 8-byte keys are broadcast (about 64 MB); beyond it the keys are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
@@ -94,8 +94,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
     """The documents without any occurrence of a benchmark window; columns and repeated rows stay."""
     found = contamination(docs, benchmark, id_col, text_col, n).select(F.col("id").alias("_bad_id"), F.col("tk").alias("_bad_tk"))
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    return keyed.join(found, keyed[id_col].eqNullSafe(found["_bad_id"]) & (keyed["_tk"] == found["_bad_tk"]), "left_anti").drop("_tk")
+    keyed = packed(docs, _i=F.col(id_col), _t=text_key(F.col(text_col)))
+    return unpacked(keyed.join(found, keyed["_i"].eqNullSafe(found["_bad_id"]) & (keyed["_t"] == found["_bad_tk"]), "left_anti"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
@@ -103,7 +103,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     each = hits(docs, benchmark, id_col, text_col, n)
     covered = each.select("id", "tk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
     spans = covered.groupBy(F.col("id").alias("_bad_id"), F.col("tk").alias("_bad_tk")).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("_hit"))
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["_bad_id"]) & (keyed["_tk"] == spans["_bad_tk"]), "left")
-    kept = F.filter(F.transform(alnum_words(F.col(text_col)), lambda w, i: F.when(F.element_at("_hit", i).isNull(), w)), lambda w: w.isNotNull())
-    return joined.withColumn("clean_text", F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))).drop("_tk", "_hit", "_bad_id", "_bad_tk")
+    keyed = packed(docs, _i=F.col(id_col), _t=text_key(F.col(text_col)), _text=F.col(text_col))
+    joined = keyed.join(spans, keyed["_i"].eqNullSafe(spans["_bad_id"]) & (keyed["_t"] == spans["_bad_tk"]), "left")
+    kept = F.filter(F.transform(alnum_words(F.col("_text")), lambda w, i: F.when(F.element_at("_hit", i).isNull(), w)), lambda w: w.isNotNull())
+    clean = F.when(F.col("_hit").isNull(), F.col("_text")).otherwise(F.array_join(kept, " "))
+    return joined.select("_row.*", clean.alias("_clean")).withColumn("clean_text", F.col("_clean")).drop("_clean")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import running, space_word_count, text_key, written
+from ._common import packed, running, space_word_count, text_key, unpacked, written
 
 #: Buckets of the ranking inside a source; a source of any size spreads over them.
 BUCKETS = 1024
@@ -95,9 +95,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """The mix itself: each document as many times as it is taken, with all its columns."""
     n = mix(docs, id_col, source_col, text_col, **options).filter("copies > 0").groupBy("id", "source", "tk").agg(F.sum("copies").alias("_copies"))
     n = n.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("tk").alias("_mix"), F.col("_copies").cast("int").alias("_copies"))
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(n["_id"]) & keyed[source_col].eqNullSafe(n["_source"]) & (keyed["_tk"] == n["_mix"])
+    keyed = packed(docs, _i=F.col(id_col), _s=F.col(source_col), _t=text_key(F.col(text_col)))
+    same = keyed["_i"].eqNullSafe(n["_id"]) & keyed["_s"].eqNullSafe(n["_source"]) & (keyed["_t"] == n["_mix"])
     # Equal rows share a key and its copies: the first of them carries all.
     nth = F.row_number().over(Window.partitionBy("_id", "_source", "_mix").orderBy("_copies"))
     one = keyed.join(n, same).withColumn("_nth", nth).filter("_nth = 1")
-    return one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return unpacked(one.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

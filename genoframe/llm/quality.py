@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_GAP, arrow_batches, text_key, written
+from ._common import SPACE_GAP, arrow_batches, packed, text_key, unpacked, written
 
 #: Most frequent lines (host, hash) that are broadcast; beyond it they are joined by a shuffle.
 MAX_BROADCAST_LINES = 200_000
@@ -123,9 +123,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
 def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
     """The documents that :func:`judge` keeps, with all their columns."""
     good = judge(docs, id_col, host_col, text_col, **rules).filter("kept").select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("tk").alias("_good")).distinct()
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    same = keyed[id_col].eqNullSafe(good["_id"]) & keyed[host_col].eqNullSafe(good["_host"]) & (keyed["_tk"] == good["_good"])
-    return keyed.join(good, same, "left_semi").drop("_tk")
+    keyed = packed(docs, _i=F.col(id_col), _h=F.col(host_col), _t=text_key(F.col(text_col)))
+    same = keyed["_i"].eqNullSafe(good["_id"]) & keyed["_h"].eqNullSafe(good["_host"]) & (keyed["_t"] == good["_good"])
+    return unpacked(keyed.join(good, same, "left_semi"))
 
 
 def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = 100) -> DataFrame:

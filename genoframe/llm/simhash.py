@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import UPPER, LOWER, arrow_batches, text_key, written
+from ._common import LOWER, UPPER, arrow_batches, packed, text_key, unpacked, written
 from .components import connected_components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -257,6 +257,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Where several texts have the least id of their component, the one of the least digest stays.
     first = found.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("class", "component").agg(F.min("tk").alias("_pick"))
     pick = first.select(F.col("component").alias("_id"), "_pick").distinct()
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    kept = keyed.join(pick, keyed[id_col].eqNullSafe(pick["_id"]) & (keyed["_tk"] == pick["_pick"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_tk"]).drop("_tk")
+    keyed = packed(docs, _i=F.col(id_col), _t=text_key(F.col(text_col)))
+    kept = keyed.join(pick, keyed["_i"].eqNullSafe(pick["_id"]) & (keyed["_t"] == pick["_pick"]), "left_semi")
+    return unpacked(kept.dropDuplicates(["_i", "_t"]))

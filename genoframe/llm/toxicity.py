@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     for r in found.toLocalIterator():
         ids = np.array([number.setdefault(x, len(number)) for x in r["features"].split("\n") if x], np.int32)
         got.append((r["id"], ids, r["style"], r["label"]))
-    style = np.array([s for _, _, s, _ in got], np.float64).reshape(len(got), -1)
+    style = np.array([s for _, _, s, _ in got], np.float64).reshape(len(got), len(style_votes(None)))
     return fit([f for _, f, _, _ in got], list(number), style, np.array([y for *_, y in got], np.int64))
 
 
