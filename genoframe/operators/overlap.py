@@ -112,6 +112,23 @@ def intersect(a: DataFrame, b: DataFrame, how: str = "inner", **predicates) -> D
     raise ValueError(f"unknown form {how!r}")
 
 
+def intersect_blocks(a: DataFrame, b: DataFrame, f: float | None = None) -> DataFrame:
+    """Block-aware hits: (a_id, b_id, overlap) where blocks of A meet B, overlaps summed over blocks.
+
+    ``a`` has one row for each block (id, chrom, start, end), ``b`` a unique id.  The fraction is
+    tested once for each A: the union of all its hits over the length of its blocks.
+    """
+    from .interval_stats import covered
+
+    pairs = intersect_pairs(a, b)
+    hits = pairs.groupBy("a_id", "b_id").agg(F.sum("overlap").alias("overlap"))
+    if not f:
+        return hits
+    size = a.groupBy(F.col("id").alias("a_id")).agg(F.sum(F.col("end") - F.col("start")).alias("_size"))
+    enough = covered(pairs).join(size, "a_id").filter(F.col("covered") >= f * F.col("_size")).select("a_id")
+    return hits.join(enough, "a_id", "left_semi")
+
+
 def window(a: DataFrame, b: DataFrame, left: int = 1000, right: int | None = None, by_strand: bool = False, strand: str | None = None, width: int | None = None) -> DataFrame:
     """Pairs within a window around A; by strand: left is upstream, so it swaps on '-'."""
     right = left if right is None else right

@@ -227,6 +227,14 @@ def block_intervals(spark, d):
     return transform.blocks(a).select("id", "start", "end", "nth")
 
 
+def block_overlap(spark, d):
+    """Two outer blocks of each interval, a gap between them."""
+    a = intervals_a(spark, d).filter(F.col("end") - F.col("start") >= 6)
+    n = F.floor((F.col("end") - F.col("start")) / 3)
+    a = a.withColumns({"block_sizes": F.concat(n, F.lit(","), n), "block_starts": F.concat(F.lit("0,"), F.col("end") - F.col("start") - n)})
+    return overlap.intersect_blocks(transform.blocks(a), intervals_b(spark, d), f=0.5)
+
+
 def consecutive_groups(spark, d):
     """Runs of equal strand within a chromosome in (start, id) order, with their sums."""
     a = intervals_a(spark, d).withColumn("ord", F.struct("start", "id"))
@@ -374,6 +382,12 @@ QUERIES = {
       WHERE bits & 9 = 9 OR bits & 6 = 6""", _PAIRS)),
     "block_intervals": (block_intervals, sql("""SELECT id, start + CASE WHEN k = 1 THEN 0 ELSE "end" - start - s END AS start, start + CASE WHEN k = 1 THEN s ELSE "end" - start END AS "end", k AS nth
       FROM (SELECT *, ("end" - start + 1) // 2 AS s, unnest([1, 2]) AS k FROM a)""")),
+    "block_overlap": (block_overlap, sql("""SELECT a_id, b_id, sum(o)::BIGINT AS overlap FROM bo WHERE a_id IN (SELECT a_id FROM bu WHERE n >= 0.5 * 2 * size) GROUP BY a_id, b_id""",
+      """bl AS (SELECT id, chrom, (("end" - start) // 3) AS size, CASE WHEN k = 1 THEN start ELSE "end" - ("end" - start) // 3 END AS start, CASE WHEN k = 1 THEN start + ("end" - start) // 3 ELSE "end" END AS "end"
+        FROM (SELECT *, unnest([1, 2]) AS k FROM a WHERE "end" - start >= 6))""",
+      """bo AS (SELECT bl.id AS a_id, b.id AS b_id, size, greatest(bl.start, b.start) AS s, least(bl."end", b."end") AS e, least(bl."end", b."end") - greatest(bl.start, b.start) AS o
+        FROM bl JOIN b ON bl.chrom = b.chrom AND bl.start < b."end" AND b.start < bl."end")""",
+      "bu AS (SELECT a_id, size, count(DISTINCT q) AS n FROM (SELECT a_id, size, unnest(range(s, e)) AS q FROM bo) GROUP BY a_id, size)")),
     "consecutive_groups": (consecutive_groups, sql("""SELECT chrom, run, any_value(strand) AS strand, count(*) AS n, round(sum(score), 2) AS score FROM (
       SELECT *, sum(c) OVER (PARTITION BY chrom ORDER BY start, id)::BIGINT AS run FROM (
         SELECT *, CASE WHEN strand IS DISTINCT FROM lag(strand) OVER (PARTITION BY chrom ORDER BY start, id) THEN 1 ELSE 0 END AS c FROM a)) GROUP BY chrom, run""")),

@@ -163,7 +163,10 @@ QUERIES = {
     "hardy_chi2": (hardy_chi2, gt_sql("""SELECT chrom, pos, hom_ref, het, hom_alt, round(e1, 6) AS e_hom_ref, round(e2, 6) AS e_het, round(e3, 6) AS e_hom_alt,
       round(CASE WHEN e1 > 0 THEN (hom_ref - e1) ** 2 / e1 ELSE 0 END + CASE WHEN e2 > 0 THEN (het - e2) ** 2 / e2 ELSE 0 END + CASE WHEN e3 > 0 THEN (hom_alt - e3) ** 2 / e3 ELSE 0 END, 6) AS chi2
       FROM (SELECT *, p * p * called AS e1, 2 * p * (1 - p) * called AS e2, (1 - p) * (1 - p) * called AS e3 FROM (SELECT *, (n - alt) / n AS p FROM c WHERE called > 0))""", _C)),
-    "hardy_exact": (hardy_exact, None),
+    "hardy_exact": (hardy_exact, gt_sql("""SELECT chrom, pos, round(least(1, sum(w) FILTER (w <= own * (1 + 1e-9)) / sum(w)), 9) AS p, round(least(1, sum(w) FILTER (h <= het) / sum(w)), 9) AS p_deficit,
+      round(least(1, sum(w) FILTER (h >= het) / sum(w)), 9) AS p_excess FROM (SELECT *, max(w) FILTER (h = het) OVER (PARTITION BY chrom, pos) AS own FROM (
+        SELECT *, exp(x - max(x) OVER (PARTITION BY chrom, pos)) AS w FROM (SELECT *, h * ln(2) - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma(called - (rare + h) // 2 + 1) AS x FROM (
+          SELECT *, 2 * least(hom_ref, hom_alt) + het AS rare, unnest(range((2 * least(hom_ref, hom_alt) + het) % 2, 2 * least(hom_ref, hom_alt) + het + 1, 2)) AS h FROM c WHERE called > 0)))) GROUP BY chrom, pos""", _C)),
     "heterozygosity": (heterozygosity, gt_sql("""SELECT sample, observed, round(expected, 4) AS expected, sites, round((observed - expected) / (sites - expected), 6) AS f FROM (
       SELECT sample, count(*) FILTER (a1 = a2) AS observed, sum(e) AS expected, count(*) AS sites FROM v JOIN (
         SELECT chrom, pos, 1 - 2 * (alt / n) * (1 - alt / n) * n / (n - 1) AS e FROM c WHERE alt > 0 AND alt < n) USING (chrom, pos) WHERE a1 IS NOT NULL GROUP BY sample)""", _C)),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alignments, events, intervals, popgen, reads, variants
+from . import alignments, events, intervals, pileups, popgen, reads, variants
 
-MODULES = (intervals, popgen, alignments, reads, variants, events)
+MODULES = (intervals, popgen, alignments, pileups, reads, variants, events)
 
 
 def queries() -> dict:
