@@ -122,7 +122,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """
     import pyarrow as pa
 
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
 
     def run(batches):
         for b in batches:
