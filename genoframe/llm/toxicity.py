@@ -73,25 +73,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
+def label_model(votes: np.ndarray, start: np.ndarray, anchors: int = 2, most_wrong: float = 0.2, rounds: int = 15) -> LabelModel:
     """Expectation maximisation over votes (n, voters; 1 fires, 0 abstains) from starting posteriors.
 
     Correlations are those of the votes' residuals given the label; a voter's evidence is
     divided by one plus the sum of its correlations with the others, so that a group that always
-    fires together counts about once.
+    fires together counts about once.  The last ``anchors`` voters are an annotator's yes and no:
+    they are wrong at most so often, keep their whole weight, and their balance is the prior, so
+    that the posteriors cannot drift away from what labels there are.
     """
+    prior = float(np.clip(start.mean(), 1e-3, 1 - 1e-3))
     v, q = votes.astype(np.float64), np.clip(start.astype(np.float64), 0.02, 0.98)
     model = None
     for _ in range(rounds):
         w1, w0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
         fire1, fire0 = (v.T @ q + 0.5) / (w1 + 1), (v.T @ (1 - q) + 0.1) / (w0 + 1)
+        if anchors:
+            fire1[-2], fire0[-2] = max(fire1[-2], 1 - most_wrong), min(fire0[-2], most_wrong)
+            fire1[-1], fire0[-1] = min(fire1[-1], most_wrong), max(fire0[-1], 1 - most_wrong)
         residual = v - np.outer(q, fire1) - np.outer(1 - q, fire0)
         cov = residual.T @ residual / max(1, len(v))
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(corr, 0)
         corr[corr < 0.1] = 0
-        model = LabelModel(np.clip(fire1, 1e-4, 1 - 1e-4), np.clip(fire0, 1e-4, 1 - 1e-4), 1 / (1 + corr.sum(axis=1)), corr, float(np.clip(w1 / (w1 + w0), 1e-3, 1 - 1e-3)))
+        if anchors:
+            corr[-anchors:] = corr[:, -anchors:] = 0
+        model = LabelModel(np.clip(fire1, 1e-4, 1 - 1e-4), np.clip(fire0, 1e-4, 1 - 1e-4), 1 / (1 + corr.sum(axis=1)), corr, prior)
         q = model.posterior(v)
     return model
 
@@ -185,7 +193,7 @@ def fit(docs: list[np.ndarray], names: list[str], style: np.ndarray, labels: np.
         votes[r, f] = 1
     annotated = labels.astype(np.float64)[:, None]
     quiet = (votes.sum(axis=1, keepdims=True) + style[:, 2:3] == 0).astype(np.float64)
-    votes = np.concatenate((votes, style, annotated, 1 - annotated, quiet), axis=1)
+    votes = np.concatenate((votes, style, quiet, annotated, 1 - annotated), axis=1)
     model = label_model(votes, labels)
     chosen = [k for k in order if chi[k] >= LEAST_CHI and lift[k]][:FEATURES]
     rows = picked(chosen)
