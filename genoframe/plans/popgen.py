@@ -172,8 +172,8 @@ QUERIES = {
         SELECT chrom, pos, 1 - 2 * (alt / n) * (1 - alt / n) * n / (n - 1) AS e FROM c WHERE alt > 0 AND alt < n) USING (chrom, pos) WHERE a1 IS NOT NULL GROUP BY sample)""", _C)),
     "site_pi": (site_pi, gt_sql("SELECT chrom, pos, round(2.0 * alt * (n - alt) / (n * (n - 1)), 6) AS pi FROM c WHERE n >= 2", _C)),
     "window_pi": (window_pi, gt_sql("""SELECT chrom, idx * 100 + 1 AS bin_start, idx * 100 + 200 AS bin_end, count(*) AS variants,
-      round(sum(2 * alt * (n - alt)) / (sum(n * (n - 1)) + (200 - count(*)) * 24 * 23), 9) AS pi FROM (
-        SELECT *, unnest(range(greatest(0, CAST(ceil((pos - 200) / 100) AS BIGINT)), CAST(ceil(pos / 100) AS BIGINT))) AS idx FROM c WHERE alt > 0 AND alt < n) GROUP BY chrom, idx""", _C)),
+      round(sum(2 * alt * (n - alt)) / (sum(n * (n - 1)) + (200 - count(*)) * any_value(k) * (any_value(k) - 1)), 9) AS pi FROM (
+        SELECT *, (SELECT 2 * count(DISTINCT sample) FROM v) AS k, unnest(range(greatest(0, CAST(ceil((pos - 200) / 100) AS BIGINT)), CAST(ceil(pos / 100) AS BIGINT))) AS idx FROM c WHERE alt > 0 AND alt < n) GROUP BY chrom, idx""", _C)),
     "tajima_d": (tajima_d, gt_sql("""SELECT chrom, bin_start, sites, round(CASE WHEN s >= 2 AND n >= 3 AND var > 0 THEN (pi - s / a1) / sqrt(CASE WHEN var > 0 THEN var END) END, 5) AS d FROM tl""", _C, _BIN)),
     "singletons": (singletons, gt_sql("""SELECT chrom, pos, allele, CASE WHEN count(*) = 1 THEN 'S' ELSE 'D' END AS kind, min(sample) AS sample FROM al GROUP BY chrom, pos, allele
       HAVING count(*) = 1 OR count(*) = 2 AND count(DISTINCT sample) = 1""", _AL)),
