@@ -300,3 +300,12 @@ def test_pipeline_stages(spark, docs, texts):
     assert {r["doc_id"] for r in clean.collect()} == set(least.values()) - bad
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == corpus_pipeline.source_mixing(spark, clean, SF).count()
+
+
+def test_lm_trains_on_every_token(spark, docs, texts, monkeypatch):
+    seen, write = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    lm.train(docs, lm.word_counts(docs, "doc_id", "text"))
+    predicted = sum(len(r["ids"]) - 1 - (r["fresh"] if "fresh" in r else 0) for r in seen["spans"].collect())
+    training = [words(lower(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    assert predicted == sum(1 + sum(len(lm.subwords(w.encode(), lm.TOKENIZER)) for w in ws) for ws in training)
