@@ -309,3 +309,17 @@ def test_lm_trains_on_every_token(spark, docs, texts, monkeypatch):
     predicted = sum(len(r["ids"]) - 1 - (r["fresh"] if "fresh" in r else 0) for r in seen["spans"].collect())
     training = [words(lower(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
     assert predicted == sum(1 + sum(len(lm.subwords(w.encode(), lm.TOKENIZER)) for w in ws) for ws in training)
+
+
+def test_lm_counts_what_follows_between_words(spark, monkeypatch):
+    seen, smooth = [], lm.from_counts
+    monkeypatch.setattr(lm, "from_counts", lambda pairs, c, shape: seen.append((pairs, c)) or smooth(pairs, c, shape))
+    texts = {i: "the of and the of and the of" if i % 3 else "and " * 40 for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lm.train(docs, lm.word_counts(docs, "doc_id", "text"))
+    (pairs, c), end, want = seen[0], len(seen[0][1].cls) - 1, Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            ids = [x for w in t.split() for x in lm.subwords(w.encode(), lm.TOKENIZER)] + [end]
+            want += Counter(zip([-1, *c.cls[ids[:-1]].tolist()], c.column[ids].tolist(), strict=True))
+    assert {(a if a < len(pairs) - 1 else -1, b): pairs[a, b] for a, b in np.argwhere(pairs).tolist()} == want
