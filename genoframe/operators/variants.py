@@ -253,15 +253,16 @@ def scatter(df: DataFrame, sites: int) -> DataFrame:
 
 
 def reference_blocks(df: DataFrame, depth: str = "dp", edges: tuple[int, ...] = (1, 10, 20, 40)) -> DataFrame:
-    """Runs of adjacent reference places in one depth band: (chrom, start, end, band, least)."""
+    """Runs of adjacent reference places in one depth band: (chrom, start, end, band, least); for each sample, named first, where there is that column."""
+    keys = ["sample", "chrom"] if "sample" in df.columns else ["chrom"]
     band = F.lit(0)
     for i, e in enumerate(edges):
         band = F.when(F.col(depth) >= e, i + 1).otherwise(band)
-    w = Window.partitionBy("chrom").orderBy("pos")
+    w = Window.partitionBy(*keys).orderBy("pos")
     x = df.withColumn("band", band)
     x = x.withColumn("_f", F.coalesce((F.col("pos") != F.lag("pos").over(w) + 1) | (F.col("band") != F.lag("band").over(w)), F.lit(True)).cast("int"))
     x = x.withColumn("_run", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("chrom", "_run", "band").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.min(depth).alias("least")).drop("_run")
+    return x.groupBy(*keys, "_run", "band").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.min(depth).alias("least")).drop("_run")
 
 
 # Statistics and tags.

@@ -171,6 +171,11 @@ def reference_blocks(spark, d):
     return V.reference_blocks(g).select("chrom", "start", "end", F.col("band").cast("int").alias("band"), "least")
 
 
+def reference_blocks_all_samples(spark, d):
+    g = genotypes(spark, d).withColumn("chrom", F.lit("x"))
+    return V.reference_blocks(g).select("sample", "chrom", "start", "end", F.col("band").cast("int").alias("band"), "least")
+
+
 _B = "substring('ACGT', CAST(({0}) % 4 + 1 AS INT), 1)".format
 _VS = f"""vs AS (SELECT 'p' || (p_size % 20) AS chrom, p_partkey + 1 AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'rs' || p_partkey END AS id, {_B('p_size')} AS ref,
   CASE WHEN p_partkey % 5 = 0 THEN {_B('p_size')} || {_B('p_partkey')} ELSE {_B('p_size + 1 + p_partkey % 3')} END AS alt1,
@@ -232,4 +237,6 @@ QUERIES = {
     "variant_keys": (variant_keys, None),
     "reference_blocks": (reference_blocks, _sql("""SELECT 'x' AS chrom, min(pos) AS start, max(pos) AS "end", band, min(dp) AS least FROM (
       SELECT *, pos - row_number() OVER (PARTITION BY band ORDER BY pos) AS k FROM (SELECT pos, dp, CASE WHEN dp >= 40 THEN 4 WHEN dp >= 20 THEN 3 WHEN dp >= 10 THEN 2 WHEN dp >= 1 THEN 1 ELSE 0 END AS band FROM v WHERE sample = 3)) GROUP BY band, k""")),
+    "reference_blocks_all_samples": (reference_blocks_all_samples, _sql("""SELECT sample, 'x' AS chrom, min(pos) AS start, max(pos) AS "end", band, min(dp) AS least FROM (
+      SELECT *, pos - row_number() OVER (PARTITION BY sample, band ORDER BY pos) AS k FROM (SELECT sample, pos, dp, CASE WHEN dp >= 40 THEN 4 WHEN dp >= 20 THEN 3 WHEN dp >= 10 THEN 2 WHEN dp >= 1 THEN 1 ELSE 0 END AS band FROM v)) GROUP BY sample, band, k""")),
 }

@@ -213,3 +213,9 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in text.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("id").collect()] == [("r1", "d", "ACG", "III"), ("r2", "", "T", "@")]
     assert text.region("c:1,001-2000") == ("c", 1000, 2000) and text.region("c:5") == ("c", 4, 1 << 30) and text.region("c") == ("c", 0, 1 << 30)
     assert [text.sniff(x) for x in (b"c\t1\t2\n", b">a\n", b"\x1f\x8b", b"c\ts\tt\t1\t2\t.\t+\t.\tx")] == ["bed", "fasta", "gzip", "gff"]
+
+
+def test_reference_blocks_of_each_sample(spark):
+    rows = [("a", "x", 1, 5), ("b", "x", 1, 30), ("a", "x", 2, 6), ("b", "x", 2, 25), ("a", "x", 3, 15), ("b", "x", 4, 30)]
+    got = variants.reference_blocks(spark.createDataFrame(rows, "sample string, chrom string, pos long, dp int")).select("sample", "start", "end", "band", "least").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 2, 1, 5), ("a", 3, 3, 2, 15), ("b", 1, 2, 3, 25), ("b", 4, 4, 3, 30)]
