@@ -133,9 +133,14 @@ def site_sets(spark, d):
 
 
 def merged_sets(spark, d):
-    x = variants(spark, d).filter(F.size("samples") > 0)
-    named = lambda df, p: df.withColumn("samples", F.array(F.get("samples", F.lit(0)))).withColumn("samples", F.transform("samples", lambda s: F.struct(F.lit(p).alias("name"), s["gt"].alias("gt"), s["data"].alias("data"))))
-    y = V.merge_sets(named(x.filter("pos % 2 = 0"), "x"), named(x.filter("pos % 3 = 0").withColumn("alt", F.array(F.concat("ref", F.lit("G")), F.get("alt", F.lit(0)))), "y"))
+    x = variants(spark, d)
+    names = F.array(*[F.lit(f"s{k:02d}") for k in range(12)])
+
+    def named(df, p):
+        found = lambda n: F.get(F.filter("samples", lambda s: s["name"] == n), F.lit(0))
+        return df.withColumn("samples", F.transform(names, lambda n: F.struct(F.concat(F.lit(p), n).alias("name"), F.coalesce(found(n)["gt"], F.lit("./.")).alias("gt"), found(n)["data"].alias("data"))))
+
+    y = V.merge_sets(named(x, "x"), named(x.withColumn("alt", F.array(F.concat("ref", F.lit("G")), F.get("alt", F.lit(0)))), "y"))
     return y.select("chrom", "pos", "ref", F.array_join("alt", ",").alias("alt"), F.array_join(F.transform("samples", lambda s: F.concat(s["name"], F.lit("="), s["gt"])), " ").alias("gts"))
 
 

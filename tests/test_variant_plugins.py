@@ -1,7 +1,13 @@
 """Further variant operators on small frames."""
 
+import os
+import re
+
+import pytest
+
 from genoframe.operators import pileup, read_pairs
 from genoframe.operators import variant_plugins as P
+from genoframe.plans import variants as variant_plans
 
 SCHEMA = "chrom string, pos long, id string, ref string, alt array<string>, info map<string,string>, samples array<struct<name:string,gt:string,data:map<string,string>>>"
 
@@ -80,3 +86,18 @@ def test_pairs(spark):
     assert (umi["id"], umi["seq"], umi["qual"]) == ("r:ACG", "TTT", "III")
     out = read_pairs.read_pipeline(spark.createDataFrame([("r", "ACGTACGTACGTACGTAGGGGGGGGGGGG", "I" * 29), ("s", "ACG", "III"), ("n", None, None)], "id string, seq string, qual string"))
     assert {r["id"]: r["reason"] for r in out.collect()} == {"r": None, "s": "length", "n": "length"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the shared tables are not here")
+def test_merged_sets_hold_all_sites_and_samples(spark):
+    d = "/root/testdata/sf0.001"
+    got = {(r["chrom"], r["pos"]): (r["ref"], r["alt"], r["gts"]) for r in variant_plans.merged_sets(spark, d).collect()}
+    want = {}
+    for r in variant_plans.variants(spark, d).collect():
+        other = [r["ref"] + "G", r["alt"][0]]
+        alts = list(dict.fromkeys([*r["alt"], *other]))
+        gts = {s["name"]: s["gt"] for s in r["samples"]}
+        recode = lambda gt, own: re.sub(r"[1-9]", lambda m: str(alts.index(own[int(m[0]) - 1]) + 1), gt)
+        lists = [f"{p}s{k:02d}={recode(gts.get(f's{k:02d}', './.'), own)}" for p, own in (("x", r["alt"]), ("y", other)) for k in range(12)]
+        want[r["chrom"], r["pos"]] = (r["ref"], ",".join(alts), " ".join(lists))
+    assert got == want
