@@ -122,27 +122,39 @@ def bucket_keys(fps: np.ndarray) -> np.ndarray:
 def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links of ``bits`` or fewer differing bits connect among distinct fingerprints.
 
-    Each component becomes a binary tree, so that no node gets many edges.
+    Each component becomes a star around its least fingerprint.
     """
     left, a, b = fps, [], []
     while len(left) > 1:
-        members, left, at = [left[:1]], left[1:], 0
-        seen = left[:0]
-        queue = list(members[0])
+        queue, left, at = [left[0]], left[1:], 0
         while at < len(queue) and len(left):
             near = np.bitwise_count(left ^ queue[at]) <= bits
             at += 1
             if near.any():
-                found, left = left[near], left[~near]
-                queue.extend(found)
-        group = np.array(queue, fps.dtype) if len(queue) > 1 else seen
-        if len(group) > 1:
-            k = np.arange(1, len(group))
-            a.append(group[(k - 1) // 2])
-            b.append(group[k])
+                queue.extend(left[near])
+                left = left[~near]
+        if len(queue) > 1:
+            group = np.array(queue, fps.dtype)
+            a.append(group[group != group.min()])
+            b.append(np.full(len(group) - 1, group.min()))
     return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
+def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect: each node keeps the one to its least lower neighbour and hands the others to that neighbour, until none is left."""
+    kept: list[np.ndarray] = []
+    left = np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)
+    while len(left):
+        left = left[np.lexsort((left[:, 1], left[:, 0]))]
+        first = np.concatenate(([True], left[1:, 0] != left[:-1, 0]))
+        kept.append(left[first])
+        low = np.repeat(left[first, 1], np.diff(np.append(np.flatnonzero(first), len(left))))
+        other = ~first & (left[:, 1] != low)
+        left = np.stack((left[other, 1], low[other]), axis=1)
+    every = np.unique(np.concatenate(kept), axis=0) if kept else left
+    return np.ascontiguousarray(every[:, 0]), np.ascontiguousarray(every[:, 1])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], bits: int, most: int | None) -> Iterator[pa.RecordBatch]:
     """Edges of each bucket, from rows (key..., fp) sorted by their key; buckets over ``most`` pass on with edges null.
 
@@ -178,10 +190,9 @@ def _verify(batches: Iterator[pa.RecordBatch], bits: int, most: int | None) -> I
                 x, y = forest(own, bits)
                 edges_a.append(x)
                 edges_b.append(y)
-        x, y = np.concatenate(edges_a), np.concatenate(edges_b)
+        x, y = contract(np.concatenate(edges_a), np.concatenate(edges_b))
         if len(x):
-            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
-            yield out(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
+            yield out(x, y, None)
 
     for batch in batches:
         key, fp = batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from genoframe.llm import decontaminate, html, lm, mixing, quality, sharding, simhash, toxicity
-from genoframe.llm.components import connected_components
+from genoframe.llm.components import connected_components, contracted
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the shared tables are not here")
@@ -104,6 +104,37 @@ def test_golay_keys_meet():
     assert all(set(p) & set(q) for p, q in zip(a.tolist(), b.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("n", [250, 1000, 4000])
+def test_a_cluster_has_hardly_more_edges_than_nodes(spark, n):
+    rng = np.random.default_rng(n)
+    centre = int(rng.integers(1 << 62))
+    fps = sorted({centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False)) for _ in range(n)})
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    edges = contracted(simhash.links(df, 4))
+    assert len(fps) - 1 <= edges.count() <= 2 * len(fps)
+    labels = connected_components(edges)
+    assert labels.count() == len(fps) and labels.select("label").distinct().count() == 1
+
+
+def test_contracted_edges_connect_the_same_nodes():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 400, 500).astype(np.uint64), rng.integers(0, 400, 500).astype(np.uint64)
+
+    def label(x, y):
+        own = {k: k for k in map(int, {*x, *y})}
+        changed = True
+        while changed:
+            changed = False
+            for p, q in zip(map(int, x), map(int, y), strict=True):
+                least = min(own[p], own[q])
+                changed |= own[p] != least or own[q] != least
+                own[p] = own[q] = least
+        return own
+
+    few = simhash.contract(a, b)
+    assert label(*few) == label(a, b) and len(few[0]) < 500
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(500, 501), (501, 501)], "a long, b long"))
     got = {r["node"]: r["label"] for r in connected_components(edges).collect()}
