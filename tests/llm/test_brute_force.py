@@ -224,47 +224,87 @@ def test_rare_words_join(docs, monkeypatch):
     assert many == pytest.approx(few, abs=1e-6)
 
 
-def model_of(ids, shape):
-    counts = np.bincount(ids, minlength=40).astype(float)
-    c = lm.classes_of(counts, np.arange(40) % 2 == 0, shape)
-    pair, column = lm.from_counts(np.ones((shape.classes + 1, shape.inputs - 2 + shape.classes)), c, shape)
-    return lm.Model(shape, "", c, column, lm.parameters(shape, pair))
-
-
-def test_lm_probabilities_sum_to_one_and_windows_score_once():
-    shape = lm.Shape(window=8, stride=6, width=4, single=6, shared=4, inputs=16)
-    rng = np.random.default_rng(0)
-    m = model_of(rng.integers(0, 40, 500), shape)
-    for length in (1, 5, 8, 9, 14, 15, 40):
-        head = rng.integers(0, 40, length)
-        total = 0.0
-        base = m.score(np.concatenate(([-1], head)), np.array([length + 1]))[0]
-        for k in range(40):
-            total += 10 ** (m.score(np.concatenate(([-1], head, [k])), np.array([length + 2]))[0] - base)
-        assert total == pytest.approx(1, abs=1e-3)
-        places, scored, owner = lm.pack(np.array([length + 1, 3]), shape)
-        assert sorted(places[scored].tolist()) == [*range(length), length + 1, length + 2]
-
-
-def test_lm_gradients():
-    shape = lm.Shape(window=6, stride=4, width=4, single=6, shared=4, inputs=16)
-    rng = np.random.default_rng(1)
-    m = model_of(rng.integers(0, 40, 500), shape)
-    seq = np.concatenate(([-1], rng.integers(0, 40, 20)))
-    batch = m.arrays(seq, np.array([len(seq)]))[:4]
-    p = {k: x.astype(np.float64) for k, x in m.params.items()}
-    _, g = lm.gradients(p, *batch)
+def small_model(spark, texts, shape, steps=0):
+    """A lexicon of some of the words, and a model from counts over the texts with random parameters."""
+    c = Counter(w.encode() for t in texts for w in t.split())
+    counts = spark.createDataFrame([("", len(texts)), *((w.decode(), n) for w, n in c.items())], "word string, c long")
+    cut = lm.written(lm._cut(counts, lm.TOKENIZER), "t")
+    id_counts = lm._id_counts(cut, lm.TOKENIZER)
+    classes = lm.classes_of(id_counts, np.append(lm._begins_word(lm.TOKENIZER), True), shape)
+    table = [b"", *sorted(c)[::2]]
+    lexicon = lm.Lexicon(lm.TOKENIZER, table, np.zeros(len(table)))
+    follow = np.zeros((4, shape.columns + 1, shape.columns))
+    for t in texts:
+        x = [shape.columns, *(classes.column[i] for w in t.split() for i in lm.subwords(w.encode(), lm.TOKENIZER)), classes.column[lexicon.end]]
+        for k in range(1, shape.far + 1):
+            for i, j in zip(x, x[k:], strict=False):
+                follow[min(k, 4) - 1, i, j] += 1
+    rng = np.random.default_rng(3)
+    params = {k: x + rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm.parameters(shape).items()}
+    model = lm.Model(shape, lm.TOKENIZER, classes, lm._nodes(cut, 60), lm.follows(follow, classes, id_counts, shape), params)
+    lexicon.count(model.nodes)
+    return lexicon, model
+
+
+def plain_next(model, head, words_before, node):
+    """Probabilities of all ids after the entries ``head``, entry by entry; ``node``: counts of a beginning of a word, as a function of its ids."""
+    c, p, shape = model.classes, model.params, model.shape
+    n = len(c.column) - 1
+    weights, values = [], []
+    for k in range(min(shape.window, len(head))):
+        i = head[-1 - k]
+        weights.append(math.exp(min(60, float(p["query"][c.embed[head[-1]]] @ p["key"][c.embed[i]]) + p["near"][k])))
+        values.append(model.follow[min(k, 3), c.column[i], c.column[:n]] * c.inside[:n])
+    count, ends, known = node(words_before)
+    met = np.array([ends * values[0][s] / model.starts[c.column[head[-1]]] if c.begins[s] else (node([*words_before, s])[0] if words_before else 0) for s in range(n)])
+    weights.append(math.exp(p["sink"][c.embed[head[-1]]] + p["trust"][min(23, int(math.log2(known + 1)))]))
+    values.append((met + model.weight * values[0]) / (known + model.weight))
+    return sum(w * v for w, v in zip(weights, values, strict=True)) / sum(weights)
+
+
+TINY = ["anblewh sttible tion the of the anbleth stti", "the of tion anblewh anble", "sttible sttibles the", "of"]
+
+
+def test_lm_against_a_plain_loop(spark, monkeypatch):
+    shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=6, block=7)
+    lexicon, model = small_model(spark, TINY, shape)
+    node = lambda ids: model.nodes.look(np.array(ids), np.array([len(ids)]))[:, -1].astype(float) if ids else np.zeros(3)
+    want = []
+    texts = [*TINY, "anblewhx unseen of the", "", " ".join(TINY)]
+    for t in texts:
+        head, word, total = [lexicon.end + 1], [], 0.0
+        for ids in [*(lm.subwords(w.encode(), lm.TOKENIZER) for w in t.split()), (lexicon.end,)]:
+            for i in ids:
+                p = plain_next(model, head, word, node)
+                assert p.sum() == pytest.approx(1, abs=1e-4)
+                total += math.log10(p[i])
+                word = [i] if i == ids[0] and model.classes.begins[i] else [*word, i]
+                head.append(i)
+        want.append(total)
+    for span in (50_000, 3):
+        monkeypatch.setattr(lm, "SPAN", span)
+        read, got = [lexicon.number(t.encode().split()) for t in texts], np.zeros(len(texts))
+        if span == 3:
+            model.shape = lm.Shape(**{**vars(shape), "block": 4})
+        for part in lexicon.tokens(read, model):
+            got += np.bincount(part.owner, model.log10(part), len(texts))
+        assert got == pytest.approx(np.array(want), rel=1e-4)
+
+
+def test_lm_gradients(spark):
+    shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=6)
+    lexicon, model = small_model(spark, TINY, shape)
+    (t,) = lexicon.tokens([lexicon.number(x.encode().split()) for x in TINY], model)
+    p = {k: x.astype(np.float64) for k, x in model.params.items()}
+    _, g = model.gradients(p, t, 1, len(t.column))
     for k in p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        for sign in (1, -1):
-            p[k][at] += sign * 1e-4
-            if sign == 1:
-                up = lm.gradients(p, *batch)[0]
-                p[k][at] -= 1e-4
-        p[k][at] += 0
-        down = lm.gradients(p, *batch)[0]
-        p[k][at] += 1e-4
-        assert (up - down) / 2e-4 == pytest.approx(float(g[k][at]), rel=2e-2, abs=1e-5)
+        loss = []
+        for step in (1e-3, -2e-3):
+            p[k][at] += step
+            loss.append(model.gradients(p, t, 1, len(t.column))[0])
+        p[k][at] += 1e-3
+        assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(float(g[k][at]), rel=3e-2, abs=1e-6)
 
 
 def test_subwords_in_bulk():
@@ -333,24 +373,20 @@ def test_pipeline_stages(spark, docs, texts):
     assert out.count() == corpus_pipeline.source_mixing(spark, clean, SF).count()
 
 
-def test_lm_trains_on_every_token(spark, docs, texts, monkeypatch):
-    seen, write = {}, lm.written
-    monkeypatch.setattr(lm, "written", lambda df, name: seen.setdefault(name, write(df, name)))
-    lm.train(docs, lm.word_counts(docs, "doc_id", "text"))
-    predicted = sum(len(r["ids"]) - 1 - (r["fresh"] if "fresh" in r else 0) for r in seen["spans"].collect())
+def test_lm_trains_on_and_counts_every_token(spark, docs, texts, monkeypatch):
+    held = {}
+    monkeypatch.setattr(lm, "_follow_counts", lambda rows, model, shared, f=lm._follow_counts: held.setdefault("follow", f(rows, model, shared)))
+    monkeypatch.setattr(lm, "_trained", lambda rows, model, shared, n, f=lm._trained: held.setdefault("seen", (rows, model, shared, n)) and f(rows, model, shared, n))
+    lm.score(docs).collect()
     training = [words(lower(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
-    assert predicted == sum(1 + sum(len(lm.subwords(w.encode(), lm.TOKENIZER)) for w in ws) for ws in training)
-
-
-def test_lm_counts_what_follows_between_words(spark, monkeypatch):
-    seen, smooth = [], lm.from_counts
-    monkeypatch.setattr(lm, "from_counts", lambda pairs, c, shape: seen.append((pairs, c)) or smooth(pairs, c, shape))
-    texts = {i: "the of and the of and the of" if i % 3 else "and " * 40 for i in range(12)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    lm.train(docs, lm.word_counts(docs, "doc_id", "text"))
-    (pairs, c), end, want = seen[0], len(seen[0][1].cls) - 1, Counter()
-    for i, t in texts.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            ids = [x for w in t.split() for x in lm.subwords(w.encode(), lm.TOKENIZER)] + [end]
-            want += Counter(zip([-1, *c.cls[ids[:-1]].tolist()], c.column[ids].tolist(), strict=True))
-    assert {(a if a < len(pairs) - 1 else -1, b): pairs[a, b] for a, b in np.argwhere(pairs).tolist()} == want
+    cut = [[x for w in ws for x in lm.subwords(w.encode(), lm.TOKENIZER)] for ws in training]
+    tokens = sum(len(x) + 1 for x in cut)
+    rows, model, shared, n = held["seen"]
+    assert n == tokens and held["follow"][0].sum() == tokens
+    lexicon = shared.value[0]
+    assert sum(int(t.scored.sum()) for r in rows.collect() for t in lexicon.tokens([(np.frombuffer(r["words"], np.int32), [x.encode() for x in r["rare"]])], model)) == tokens
+    want = Counter()
+    for x in cut:
+        ids = np.append(x, lexicon.end).astype(int)
+        want += Counter(zip([model.shape.columns, *model.classes.column[ids[:-1]].tolist()], model.classes.column[ids].tolist(), strict=True))
+    assert {(a, b): held["follow"][0][a, b] for a, b in np.argwhere(held["follow"][0]).tolist()} == want
