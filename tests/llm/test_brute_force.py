@@ -232,7 +232,7 @@ def small_model(spark, texts, shape, steps=0):
     id_counts = lm._id_counts(cut, lm.TOKENIZER)
     classes = lm.classes_of(id_counts, np.append(lm._begins_word(lm.TOKENIZER), True), shape)
     table = [b"", *sorted(c)[::2]]
-    lexicon = lm.Lexicon(lm.TOKENIZER, table, np.zeros(len(table)))
+    lexicon = lm.Lexicon(lm.TOKENIZER, table, np.zeros(len(table)), classes, lm._nodes(cut, 60))
     follow = np.zeros((4, shape.columns + 1, shape.columns))
     for t in texts:
         x = [shape.columns, *(classes.column[i] for w in t.split() for i in lm.subwords(w.encode(), lm.TOKENIZER)), classes.column[lexicon.end]]
@@ -241,9 +241,13 @@ def small_model(spark, texts, shape, steps=0):
                 follow[min(k, 4) - 1, i, j] += 1
     rng = np.random.default_rng(3)
     params = {k: x + rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm.parameters(shape).items()}
-    model = lm.Model(shape, lm.TOKENIZER, classes, lm._nodes(cut, 60), lm.follows(follow, classes, id_counts, shape), params)
-    lexicon.count(model.nodes)
-    return lexicon, model
+    return lexicon, lm.Model(shape, classes, lm.follows(follow, classes, id_counts, shape), params)
+
+
+def as_read(lexicon, text):
+    numbers, rare = lexicon.number(text.encode().split())
+    ids, sizes = lm.subwords_of(rare, lm.TOKENIZER)
+    return numbers, sizes, ids
 
 
 def plain_next(model, head, words_before, node):
@@ -268,7 +272,7 @@ TINY = ["anblewh sttible tion the of the anbleth stti", "the of tion anblewh anb
 def test_lm_against_a_plain_loop(spark, monkeypatch):
     shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=6, block=7)
     lexicon, model = small_model(spark, TINY, shape)
-    node = lambda ids: model.nodes.look(np.array(ids), np.array([len(ids)]))[:, -1].astype(float) if ids else np.zeros(3)
+    node = lambda ids: lexicon.nodes.look(np.array(ids), np.array([len(ids)]))[-1].astype(float) if ids else np.zeros(3)
     want = []
     texts = [*TINY, "anblewhx unseen of the", "", " ".join(TINY)]
     for t in texts:
@@ -283,10 +287,10 @@ def test_lm_against_a_plain_loop(spark, monkeypatch):
         want.append(total)
     for span in (50_000, 3):
         monkeypatch.setattr(lm, "SPAN", span)
-        read, got = [lexicon.number(t.encode().split()) for t in texts], np.zeros(len(texts))
+        read, got = [as_read(lexicon, t) for t in texts], np.zeros(len(texts))
         if span == 3:
             model.shape = lm.Shape(**{**vars(shape), "block": 4})
-        for part in lexicon.tokens(read, model):
+        for part in lexicon.tokens(read, 5):
             got += np.bincount(part.owner, model.log10(part), len(texts))
         assert got == pytest.approx(np.array(want), rel=1e-4)
 
@@ -294,7 +298,7 @@ def test_lm_against_a_plain_loop(spark, monkeypatch):
 def test_lm_gradients(spark):
     shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=6)
     lexicon, model = small_model(spark, TINY, shape)
-    (t,) = lexicon.tokens([lexicon.number(x.encode().split()) for x in TINY], model)
+    (t,) = lexicon.tokens([as_read(lexicon, x) for x in TINY], 5)
     p = {k: x.astype(np.float64) for k, x in model.params.items()}
     _, g = model.gradients(p, t, 1, len(t.column))
     for k in p:
@@ -375,16 +379,15 @@ def test_pipeline_stages(spark, docs, texts):
 
 def test_lm_trains_on_and_counts_every_token(spark, docs, texts, monkeypatch):
     held = {}
-    monkeypatch.setattr(lm, "_follow_counts", lambda rows, model, shared, f=lm._follow_counts: held.setdefault("follow", f(rows, model, shared)))
-    monkeypatch.setattr(lm, "_trained", lambda rows, model, shared, n, f=lm._trained: held.setdefault("seen", (rows, model, shared, n)) and f(rows, model, shared, n))
+    monkeypatch.setattr(lm, "_follow_counts", lambda *x, f=lm._follow_counts: held.setdefault("follow", f(*x)))
+    monkeypatch.setattr(lm, "_trained", lambda rows, model, shared, of, n, f=lm._trained: held.setdefault("seen", (rows.collect(), model, shared.value, n)) and f(rows, model, shared, of, n))
     lm.score(docs).collect()
     training = [words(lower(t)) for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
     cut = [[x for w in ws for x in lm.subwords(w.encode(), lm.TOKENIZER)] for ws in training]
     tokens = sum(len(x) + 1 for x in cut)
-    rows, model, shared, n = held["seen"]
+    rows, model, lexicon, n = held["seen"]
     assert n == tokens and held["follow"][0].sum() == tokens
-    lexicon = shared.value[0]
-    assert sum(int(t.scored.sum()) for r in rows.collect() for t in lexicon.tokens([(np.frombuffer(r["words"], np.int32), [x.encode() for x in r["rare"]])], model)) == tokens
+    assert sum(int(t.scored.sum()) for r in rows for t in lexicon.tokens([(np.frombuffer(r["words"], np.int32), np.frombuffer(r["sizes"], np.uint32), np.frombuffer(r["ids"], np.int32))], 24)) == tokens
     want = Counter()
     for x in cut:
         ids = np.append(x, lexicon.end).astype(int)
