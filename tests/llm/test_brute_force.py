@@ -272,7 +272,8 @@ TINY = ["anblewh sttible tion the of the anbleth stti", "the of tion anblewh anb
 def test_lm_against_a_plain_loop(spark, monkeypatch):
     shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=(4, 5, 6), block=7)
     lexicon, model = small_model(spark, TINY, shape)
-    node = lambda ids: lexicon.nodes.look(np.array(ids), np.array([len(ids)]))[-1].astype(float) if ids else np.zeros(3)
+    places = lm.Places(lexicon.nodes.hash)
+    node = lambda ids: lexicon.nodes.look(np.array(ids), np.array([len(ids)]), places)[-1].astype(float) if ids else np.zeros(3)
     want = []
     texts = [*TINY, "anblewhx unseen of the", "", " ".join(TINY)]
     for t in texts:
