@@ -16,8 +16,13 @@ MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_TEXTS = 20_000
 
 
-def _key(words: Column, pos: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(length), *[F.get(words, pos + k) for k in range(length)])
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _key(hashes: Column, pos: Column, length: int) -> Column:
+    """Key of the window of ``length`` words at ``pos``, from the hashes of the words; null where the words end before it does."""
+    return F.when(F.get(hashes, pos + (length - 1)).isNotNull(), F.xxhash64(F.lit(length), *[F.get(hashes, pos + k) for k in range(length)]))
 
 
 def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = 10) -> DataFrame:
@@ -27,11 +32,11 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
     without an id count as no item.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), alnum_words(F.col(text_col)).alias("words"))
-    items = items.filter(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(n)))
-    each = items.select("item", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("pos"))
+    items = items.filter(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(n))).withColumn("hashes", _hashes(F.col("words")))
+    each = items.select("item", "words", "hashes", "length", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("pos"))
     key = F.lit(None).cast("long")
     for length in range(1, n + 1):
-        key = F.when(F.col("length") == length, _key(F.col("words"), F.col("pos"), length)).otherwise(key)
+        key = F.when(F.col("length") == length, _key(F.col("hashes"), F.col("pos"), length)).otherwise(key)
     each = each.select("item", "length", key.alias("key"), F.array_join(F.slice("words", F.col("pos") + 1, F.col("length")), " ").alias("window"))
     return each.groupBy("key", "length", "window").agg(F.collect_set("item").alias("items"))
 
@@ -39,26 +44,30 @@ def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
     """Every verified occurrence of a benchmark window: (id, tk, pos, length, items).
 
-    ``tk`` is a digest of the text, so that documents sharing an id stay apart.
+    ``tk`` is a digest of the text, so that documents sharing an id stay apart.  Words are hashed
+    once; the keys of all window lengths come from one scan.  Few keys are broadcast, and the
+    words stand by to verify a hit; many are joined by a shuffle of the keys alone, and the words
+    are fetched again for the documents that have a hit.
     """
     wins = written(windows(benchmark, "item_id", "text", n), "windows")
-    lengths = [r[0] for r in wins.select("length").distinct().collect()]  # n values at most
-    if not lengths:
-        lengths = [n]
+    lengths = sorted(r[0] for r in wins.select("length").distinct().collect()) or [n]  # n values at most
     keys = wins.select("key").distinct()
-    count = keys.count()
+    few = keys.count() <= MAX_BROADCAST_KEYS
     words = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), alnum_words(F.col(text_col)).alias("words"))
-    at = words.select("id", "tk", "words", F.posexplode_outer("words").alias("pos", "word"))
-    probes = [
-        at.filter(F.get("words", F.col("pos") + (length - 1)).isNotNull()).select("id", "tk", "words", "pos", F.lit(length).alias("length"), _key(F.col("words"), F.col("pos"), length).alias("key"))
-        for length in sorted(lengths)
-    ]
-    found = None
-    for length, probe in zip(sorted(lengths), probes, strict=True):
-        one = probe.join(F.broadcast(keys) if count <= MAX_BROADCAST_KEYS else keys, "key", "left_semi")
-        one = one.select("id", "tk", "pos", "key", "length", F.array_join(F.slice("words", F.col("pos") + 1, F.lit(length)), " ").alias("window"))
-        found = one if found is None else found.unionByName(one)
-    return found.join(F.broadcast(wins) if count <= MAX_BROADCAST_TEXTS else wins, ["key", "length", "window"]).select("id", "tk", "pos", "length", "items")
+    at = words.withColumn("hashes", _hashes(F.col("words")))
+    at = at.select("id", "tk", *(["words"] if few else []), "hashes", F.posexplode("hashes").alias("pos", "hash"))
+    each = F.explode(F.array(*[F.struct(F.lit(length).alias("length"), _key(F.col("hashes"), F.col("pos"), length).alias("key")) for length in lengths]))
+    probes = at.select("id", "tk", *(["words"] if few else []), "pos", each.alias("probe")).select("*", "probe.length", "probe.key").drop("probe").filter("key is not null")
+    text = F.array_join(F.slice("words", F.col("pos") + 1, F.col("length")), " ").alias("window")
+    if few:
+        found = probes.join(F.broadcast(keys), "key", "left_semi").select("id", "tk", "pos", "key", "length", text)
+    else:
+        found = written(probes.join(keys, "key", "left_semi").distinct(), "candidates")
+        some = found.groupBy(F.col("id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_set(F.struct("pos", "key", "length")).alias("at"))
+        texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
+        met = texts.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).dropDuplicates(["id", "tk"])
+        found = met.select("id", "tk", alnum_words(F.col("text")).alias("words"), F.explode("at").alias("at")).select("id", "tk", "words", "at.*").select("id", "tk", "pos", "key", "length", text)
+    return found.join(F.broadcast(wins) if wins.count() <= MAX_BROADCAST_TEXTS else wins, ["key", "length", "window"]).select("id", "tk", "pos", "length", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
@@ -99,12 +108,12 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 10) -> DataFrame:
-    """Adds ``clean_text``: the normalised words outside all hit spans, joined by one space, for documents with hits; other texts unchanged."""
+    """Adds ``clean_text``: the normalised words outside all hit spans, joined by one space, for documents with hits; other texts unchanged.  It takes the place of a column of that name."""
     each = hits(docs, benchmark, id_col, text_col, n)
     covered = each.select("id", "tk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos")).distinct()
     spans = covered.groupBy(F.col("id").alias("_bad_id"), F.col("tk").alias("_bad_tk")).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.lit(True)))).alias("_hit"))
-    keyed = packed(docs, _i=F.col(id_col), _t=text_key(F.col(text_col)), _text=F.col(text_col))
+    keyed = packed(docs.drop("clean_text"), _i=F.col(id_col), _t=text_key(F.col(text_col)), _text=F.col(text_col))
     joined = keyed.join(spans, keyed["_i"].eqNullSafe(spans["_bad_id"]) & (keyed["_t"] == spans["_bad_tk"]), "left")
     kept = F.filter(F.transform(alnum_words(F.col("_text")), lambda w, i: F.when(F.element_at("_hit", i).isNull(), w)), lambda w: w.isNotNull())
     clean = F.when(F.col("_hit").isNull(), F.col("_text")).otherwise(F.array_join(kept, " "))
-    return joined.select("_row.*", clean.alias("_clean")).withColumn("clean_text", F.col("_clean")).drop("_clean")
+    return joined.select("_row.*", clean.alias("clean_text"))

@@ -185,3 +185,19 @@ def test_license_places(spark):
     assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == (2, 1, 4)
     assert got[3]["n_base"] == 0 and got[3]["first_word"] is None and got[3]["labels"] == "" and got[4]["score"] == 0.0
     assert got[5]["labels"] == "apache" and got[5]["score"] == 1.0
+
+
+def test_many_benchmark_windows_are_joined_with_the_same_result(spark, odd_docs, monkeypatch):
+    prose = odd_docs.filter("doc_id = 1").first()["text"]
+    benchmark = spark.createDataFrame([(1, prose), (2, "two words"), (3, "Lazy"), (4, None), (None, "quiet river"), (5, " ".join(f"w{k * 7919 % 5003}" for k in range(100, 130)))], "item_id long, text string")
+    few = sorted(map(repr, decontaminate.report(odd_docs, benchmark).collect()))
+    assert sum("contaminated=True" in r for r in few) > 3
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_KEYS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_TEXTS", 0)
+    assert sorted(map(repr, decontaminate.report(odd_docs, benchmark).collect())) == few
+
+
+def test_spans_go_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", "x", "y")], "doc_id long, text string, _clean string, clean_text string")
+    benchmark = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert decontaminate.remove_spans(docs, benchmark).collect()[0].asDict() == {"doc_id": 1, "text": "a b c d", "_clean": "x", "clean_text": "a d"}
