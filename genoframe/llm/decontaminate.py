@@ -76,7 +76,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``n_hit`` counts the words inside any occurrence of a window, each once; ``items`` are the
     sorted ids of the items that have an occurring window.  Repeated rows give one row.
     """
-    each = hits(docs, benchmark, id_col, text_col, n)
+    each = written(hits(docs, benchmark, id_col, text_col, n), "hits")
     covered = each.select("id", "tk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("pos"), F.lit(None).cast("string").alias("item"))
     items = each.select("id", "tk", F.lit(None).cast("int").alias("pos"), F.explode("items").alias("item"))
     parts = covered.unionByName(items).distinct()

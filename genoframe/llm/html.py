@@ -10,9 +10,9 @@ advertisement and so on are always removed.
 from __future__ import annotations
 
 import html as entities
-import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -24,11 +24,8 @@ from ._common import arrow_batches, written
 #: Most (host, path) nodes of low importance that go to all executors; beyond it pages are joined with them by host.
 MAX_BROADCAST_NODES = 100_000
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_SPECIAL = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: HTML element names by their part in a page.
 _BLOCK = frozenset(
@@ -40,19 +37,21 @@ _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search for
 _NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination paywall popup promo promotion recommend recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar tracking widget".split()
 )
+#: Elements whose content is no markup, and what ends each.
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "noscript", "template", "textarea", "svg", "title", "iframe")}
 _CLOSED_BY_BLOCK = "p"
 _SIBLINGS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _NOT_INSIDE_P = _BLOCK - {"button", "label", "select", "option", "optgroup", "object", "canvas", "video", "audio"}
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "core", "plain")
+    __slots__ = ("tag", "path", "noise", "core", "plain", "low")
 
-    def __init__(self, tag: str, path: str, noise: bool, core: bool, plain: bool):
-        self.tag, self.path, self.noise, self.core, self.plain = tag, path, noise, core, plain
+    def __init__(self, tag: str, path: int, noise: bool, core: bool, plain: bool, low: bool):
+        self.tag, self.path, self.noise, self.core, self.plain, self.low = tag, path, noise, core, plain, low
 
 
-def _open(tag: str, attributes: str, parent: _Node) -> _Node:
+def _open(tag: str, attributes: str, parent: _Node, low: Collection[int]) -> _Node:
     names, role, hidden = "", "", False
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
@@ -68,18 +67,90 @@ def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     if tag not in ("html", "body", "main"):
         noise = noise or tag in _NOISE or bool(words & _NOISE_NAMES) or (tag == "header" or "header" in words) and not parent.core
     core = (tag in ("article", "main") or role in ("main", "article")) and not noise or parent.core
-    return _Node(tag, f"{parent.path}/{tag}{'.' + '.'.join(sorted(words)) if words else ''}", noise, core, not words and tag not in ("div", "section"))
+    step = f"{parent.path}/{tag}{'.' + '.'.join(sorted(words)) if words else ''}"
+    path = xxhash.xxh3_64_intdigest(step) - (1 << 63)
+    plain = (parent.plain or not parent.core) and (not core or tag in ("article", "main") or not words and tag not in ("div", "section"))
+    return _Node(tag, path, noise, core, plain, parent.low or path in low)
 
 
-def blocks(page: str | None) -> list[tuple[str, str, bool, bool, bool]]:
-    """Text blocks of a page in order: (path, text, noise, core, plain); null pages have none.
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, stop, closing, tag, attributes) of a page's markup in order; the tag is empty for comments, raw elements and the like.
 
-    ``noise``: the markup names the block or an ancestor as none of the article; ``core``: it
-    stands in an article or main element; ``plain``: it and its ancestors up to the core have no
-    class, id or generic container.
+    One pass: what a search has found, or found missing, holds for all places before it.  A ``<``
+    that begins no markup, or a tag whose quotes or bracket never close, is text.
+    """
+    n, at = len(page), 0
+    last = {q: page.rfind(q) for q in "\"'><"}
+    seen_from, seen = 0, -1  # the first special character from any place between them
+    ends: dict[int, int] = {}  # of tags that reach the quote at a place; -1: they never end
+
+    def special(i: int) -> int:
+        nonlocal seen_from, seen
+        if not seen_from <= i <= seen:
+            m = _SPECIAL.search(page, i)
+            seen_from, seen = i, m.start() if m else n
+        return seen
+
+    def end_of_tag(i: int) -> int:
+        met = []
+        while True:
+            i = special(i)
+            if i >= n:
+                end = -1
+            elif page[i] == ">":
+                end = i + 1
+            elif i in ends:
+                end = ends[i]
+            elif last[page[i]] <= i:
+                end = -1
+            else:
+                met.append(i)
+                i = page.index(page[i], i + 1) + 1
+                continue
+            ends.update(dict.fromkeys(met, end))
+            return end
+
+    while (lt := page.find("<", at)) >= 0:
+        at = lt + 1
+        if page.startswith("<!--", lt):
+            stop = page.find("-->", lt + 4)
+            at = n if stop < 0 else stop + 3
+            yield lt, at, False, "", ""
+            continue
+        closing = page.startswith("/", lt + 1)
+        name = _NAME.match(page, lt + 1 + closing)
+        if name:
+            stop = end_of_tag(name.end())
+            if stop >= 0:
+                tag = name[0].lower()
+                if not closing and tag in _RAW:
+                    m = _RAW[tag].search(page, stop)
+                    at = m.end() if m else n
+                    yield lt, at, False, "", ""
+                else:
+                    at = stop
+                    yield lt, at, closing, tag, page[name.end() : stop - 1]
+                continue
+        if page[lt + 1 : lt + 2] in ("!", "?", "/") and lt + 1 < n:
+            stop = page.find(">", lt) if last[">"] > lt else -1
+            at = n if stop < 0 else stop + 1
+            yield lt, at, False, "", ""
+        elif name and last["<"] == lt and last[">"] < lt:  # cut off inside its last tag
+            at = n
+            yield lt, at, False, "", ""
+
+
+def blocks(page: str | None, low: Collection[int] = ()) -> list[tuple[int, str, bool, bool, bool, bool]]:
+    """Text blocks of a page in order: (path, text, noise, core, plain, low); null pages have none.
+
+    ``path``: hash of the block's element and its ancestors, by tags and classes; ``noise``: the
+    markup names the block or an ancestor as none of the article; ``core``: it stands in an article
+    or main element; ``plain``: it and its ancestors up to the core have no class, id or generic
+    container; ``low``: its path or that of an ancestor is among ``low``.
     """
-    out: list[tuple[str, str, bool, bool, bool]] = []
-    stack = [_Node("", "", False, False, True)]
+    out: list[tuple[int, str, bool, bool, bool, bool]] = []
+    stack = [_Node("", 0, False, False, True, False)]
+    open_: Counter[str] = Counter()
     text: list[str] = []
 
     def end_block() -> None:
@@ -88,17 +159,18 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, bool, bool]]:
             text.clear()
             if words:
                 top = stack[-1]
-                plain = all(n.plain for n in stack if n.core and n.tag not in ("article", "main"))
-                out.append((top.path, words, top.noise, top.core, plain))
+                out.append((top.path, words, top.noise, top.core, top.plain, top.low))
+
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            open_[node.tag] -= 1
+        del stack[k:]
 
     page, at = page or "", 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
+    for start, stop, closing, tag, attributes in tags(page):
+        if start > at:
+            text.append(page[at:start])
+        at = stop
         if tag == "br":
             text.append(" ")
         if tag in _VOID or tag not in _BLOCK:
@@ -106,41 +178,36 @@ def blocks(page: str | None) -> list[tuple[str, str, bool, bool, bool]]:
                 text.append(" ")
             continue
         end_block()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if open_[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in _NOT_INSIDE_P and stack[-1].tag == _CLOSED_BY_BLOCK:
-            stack.pop()
-        if bounds := _SIBLINGS.get(tag):
+            close(len(stack) - 1)
+        alike = next((x for x in ({"dt", "dd"}, {"td", "th"}) if tag in x), {tag})
+        if (bounds := _SIBLINGS.get(tag)) and any(open_[x] for x in alike):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in bounds:
                     break
-                if stack[k].tag == tag or {stack[k].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    del stack[k:]
+                if stack[k].tag in alike:
+                    close(k)
                     break
-        if m[4].rstrip().endswith("/") and tag not in _BLOCK:
-            continue
-        stack.append(_open(tag, m[4], stack[-1]))
+        stack.append(_open(tag, attributes, stack[-1], low))
+        open_[tag] += 1
     text.append(page[at:])
     end_block()
     return out
 
 
-def extract(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
+def extract(page: str | None, low: Collection[int] = ()) -> str:
     """The main text: blocks joined by line feeds.  ``low``: paths of low importance on the page's host.
 
     With an article or main element its blocks are the text, else all blocks outside noise.  Low
     paths go with all below them, but plain paragraphs and headings of an article never do.
     """
-    found = [b for b in blocks(page) if not b[2]]
+    found = [b for b in blocks(page, low) if not b[2]]
     core = [b for b in found if b[3]] or found
-    if low:
-        removed = lambda path: any(path == x or path.startswith(x + "/") for x in low)
-        core = [b for b in core if b[3] and b[4] or not removed(b[0])]
-    return "\n".join(b[1] for b in core)
+    return "\n".join(b[1] for b in core if b[3] and b[4] or not b[5])
 
 
 def host_of(url: str | None) -> str:
@@ -165,8 +232,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         for b in batches:
             host, page_key, path, content, count = [], [], [], [], []
             for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                nodes: dict[str, list[str]] = {}
-                for p, words, noise, _, _ in blocks(page):
+                nodes: dict[int, list[str]] = {}
+                for p, words, noise, *_ in blocks(page):
                     if not noise:
                         nodes.setdefault(p, []).append(words)
                 key = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -175,10 +242,10 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     page_key.append(key)
                     path.append(p)
                     content.append(xxhash.xxh3_64_intdigest("\n".join(words).encode("utf-8", "surrogatepass")) - (1 << 63))
-                    count.append(min(len(words), 63))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page_key, pa.int64()), pa.array(path, pa.string()), pa.array(content, pa.int64()), pa.array(count, pa.int32())], ["host", "page", "path", "content", "count"])
+                    count.append(len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page_key, pa.int64()), pa.array(path, pa.int64()), pa.array(content, pa.int64()), pa.array(count, pa.int32())], ["host", "page", "path", "content", "count"])
 
-    nodes = rows.mapInArrow(run, "host string, page long, path string, content long, count int").distinct()
+    nodes = rows.mapInArrow(run, "host string, page long, path long, content long, count int").distinct()
     entropy = lambda n: -F.sum(n * F.log(n))  # noqa: E731  of counts, without their total
     by_content = nodes.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
     contents = by_content.groupBy("host", "path").agg(F.sum("n").alias("pages"), entropy(F.col("n")).alias("same"))
@@ -208,7 +275,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         return pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [id_col, "url", "text", "n_chars"])
 
     if low.count() <= MAX_BROADCAST_NODES:
-        by_host: dict[str, set[str]] = {}
+        by_host: dict[str, set[int]] = {}
         for host, path in low.collect():
             by_host.setdefault(host, set()).add(path)
         shared = pages.sparkSession.sparkContext.broadcast(by_host)

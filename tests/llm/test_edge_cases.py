@@ -1,6 +1,7 @@
 """Every operator over odd rows and over an empty table."""
 
 import re
+import time
 import zlib
 
 import pytest
@@ -201,3 +202,17 @@ def test_spans_go_beside_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d", "x", "y")], "doc_id long, text string, _clean string, clean_text string")
     benchmark = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     assert decontaminate.remove_spans(docs, benchmark).collect()[0].asDict() == {"doc_id": 1, "text": "a b c d", "_clean": "x", "clean_text": "a d"}
+
+
+@pytest.mark.parametrize("page", [
+    '<a x="bbb' + "<div " * 200_000, "<div>" * 200_000, "<div>" * 100_000 + "</p>" * 100_000, "<li>" * 200_000, "<a 'x" * 200_000, "<" * 1_000_000, "<!--" * 250_000, "<a '\"" * 200_000, "</script " * 100_000, "<dt><dd>" * 100_000, '<p a="' * 150_000 + ">",
+])
+def test_hostile_pages_take_no_time(page):
+    began = time.time()
+    html.extract(page)
+    assert time.time() - began < 3
+
+
+def test_tags_whose_quotes_never_close_are_text():
+    assert html.extract('<p>one</p><p title="x>two</p><p>three') == "one\n<p title=\"x>two\nthree"
+    assert html.extract('<p title="a>b">one</p><script>var t="</p>";</SCRIPT ><p>a < b <3</p><!-- x --><p>two<br>three</p><b') == "one\na < b <3\ntwo three"
