@@ -50,12 +50,14 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coa
 w AS (SELECT *, regexp_extract_all(t, '{SPACE_WORD}') AS w FROM d),
 g AS (SELECT rid, p, array_to_string(w[p:p + 4], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM w WHERE len(w) >= 5)),
 r AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, x) AS c FROM g) WHERE c > 1) GROUP BY rid),
-l AS (SELECT rid, source, t, raw, lower(regexp_replace(trim(regexp_replace(raw, '{SPACE_GAP}', ' ', 'g'), ' '), '[0-9]+', '0', 'g')) AS line FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS raw FROM d)),
+l AS (SELECT rid, source, t, p, raw, lower(regexp_replace(trim(regexp_replace(raw, '{SPACE_GAP}', ' ', 'g'), ' '), '[0-9]+', '0', 'g')) AS line FROM (SELECT rid, source, t, unnest(range(len(string_split(t, chr(10))))) AS p, unnest(string_split(t, chr(10))) AS raw FROM d)),
 dup AS (SELECT rid, count(*) - count(DISTINCT raw) AS n FROM l WHERE line <> '' GROUP BY rid),
-f AS (SELECT source, line FROM l WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT t) > 100),
-c AS (SELECT rid, sum(len(l.line) - len(replace(l.line, ' ', '')) + 1) AS n FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY rid),
+h AS (SELECT source, count(DISTINCT t) AS total FROM d GROUP BY source),
+f AS (SELECT source, line FROM (SELECT source, line, count(DISTINCT t) AS n FROM l WHERE line <> '' GROUP BY source, line) x WHERE n >= 5 AND 100 * n > 2 * (SELECT total FROM h WHERE h.source IS NOT DISTINCT FROM x.source)),
+m AS (SELECT l.*, f.line IS NOT NULL AS frequent FROM l LEFT JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source),
+c AS (SELECT rid, sum(CASE WHEN frequent THEN len(line) - len(replace(line, ' ', '')) + 1 ELSE 0 END) AS n, string_agg(raw, chr(10) ORDER BY p) FILTER (NOT frequent) AS clean FROM m GROUP BY rid),
 s AS (SELECT doc_id, len(w) AS n_words, length(t) - length(regexp_extract_all(t, '[\\x20\\x09-\\x0D]').array_to_string('')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
-  coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0)::BIGINT AS removed
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(c.n, 0)::BIGINT AS removed, md5(coalesce(c.clean, '')) AS clean_md5
   FROM w LEFT JOIN dup USING (rid) LEFT JOIN r USING (rid) LEFT JOIN c USING (rid))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - removed < 0.2 * n_words) AS kept FROM s"""

@@ -58,87 +58,95 @@ def text_statistics(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-def lines_of(text: Column) -> Column:
-    """Distinct normalised lines that have a word: (hash, words), ``words`` summed over equal lines.
+def _normal(line: Column) -> Column:
+    """Trimmed, white space runs to one space, digits to 0, lower case."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(line, SPACE_GAP, " ")), "[0-9]+", "0"))
 
-    Normalised: trimmed, white space runs to one space, digits to 0, lower case.
-    """
-    line = lambda x: F.lower(F.regexp_replace(F.trim(F.regexp_replace(x, SPACE_GAP, " ")), "[0-9]+", "0"))
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")))
 
+def lines_of(text: Column) -> Column:
+    """The lines of a text as (raw, line, hash, words): as they are, normalised, its hash, its words; lines without a word have a null hash."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(x.alias("raw"), _normal(x).alias("line")))
+    return F.transform(lines, lambda x: F.struct(
+        x["raw"].alias("raw"), x["line"].alias("line"), F.when(x["line"] != "", F.xxhash64(x["line"])).alias("hash"),
+        F.when(x["line"] != "", F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).otherwise(0).alias("words"),
+    ))
 
-def frequent_lines(docs: DataFrame, host_col: str, text_col: str, limit: int) -> DataFrame:
-    """(host, hash): lines that stand in more than ``limit`` distinct documents of one host.
 
-    Copies count once: documents are distinct if their texts are.
+def frequent_lines(docs: DataFrame, host_col: str, text_col: str, percent: int, least: int) -> DataFrame:
+    """(host, hashes): lines that stand in over ``percent`` of the distinct documents of a host, and in ``least`` or more.
+
+    Copies count once: documents are distinct if their texts are.  A host has at most
+    100 / percent times as many such lines as its documents have on average.
     """
-    rows = docs.select(F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("tk"), F.array_distinct(F.transform(lines_of(F.col(text_col)), lambda x: x["hash"])).alias("hashes"))
+    hashes = F.array_compact(F.array_distinct(F.transform(lines_of(F.col(text_col)), lambda x: x["hash"])))
+    rows = docs.select(F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("tk"), hashes.alias("hashes"))
     once = rows.groupBy("host", "tk").agg(F.first("hashes").alias("hashes"))
-    counts = once.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > limit).select("host", "hash")
+    # An entry without a hash counts the documents.
+    each = once.select("host", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash"))
+    counts = written(each.groupBy("host", "hash").agg(F.count("*").alias("n")).filter((F.col("n") >= least) | F.col("hash").isNull()), "lines")
+    totals = counts.filter("hash is null").select(F.col("host").alias("_host"), F.col("n").alias("total"))
+    met = counts.filter("hash is not null").join(totals, F.col("host").eqNullSafe(F.col("_host"))).filter(100 * F.col("n") > percent * F.col("total"))
+    return met.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+
+
+def with_frequent_lines(docs: DataFrame, host_col: str, text_col: str, percent: int, least: int, **columns: Column) -> DataFrame:
+    """``columns`` of the documents, and ``met``: their lines, each with whether it is frequent on the document's host."""
+    frequent = written(frequent_lines(docs, host_col, text_col, percent, least), "frequent").select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
+    if frequent.agg(F.coalesce(F.sum(F.size("_hashes")), F.lit(0))).first()[0] <= MAX_BROADCAST_LINES:
+        frequent = F.broadcast(frequent)
+    base = docs.select(F.col(host_col).alias("_of"), F.col(text_col).alias("_text"), *[c.alias(name) for name, c in columns.items()])
+    joined = base.join(frequent, F.col("_of").eqNullSafe(F.col("_host")), "left")
+    met = F.transform(lines_of(F.col("_text")), lambda x: F.struct(x["raw"].alias("raw"), x["words"].alias("words"), F.coalesce(F.array_contains("_hashes", x["hash"]), F.lit(False)).alias("frequent")))
+    return joined.select(*columns, F.when(F.col("_hashes").isNotNull(), met).alias("met"))
 
 
-def depletion(docs: DataFrame, id_col: str, host_col: str, text_col: str, limit: int) -> DataFrame:
-    """(id, host, tk, removed): words in frequent lines, for all documents; repeated rows give one row."""
-    frequent = written(frequent_lines(docs, host_col, text_col, limit), "lines").withColumn("met", F.lit(True)).withColumnRenamed("host", "_host")
-    if frequent.count() <= MAX_BROADCAST_LINES:
-        frequent = F.broadcast(frequent)
-    # A first entry without a hash counts the rows, as equal rows come together below.
-    lines = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("words"))), lines_of(F.col(text_col)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("tk"), F.explode_outer(lines).alias("line"))
-    rows = rows.select("id", "host", "tk", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    met = rows.join(frequent, rows["host"].eqNullSafe(frequent["_host"]) & (rows["hash"] == frequent["hash"]), "left").filter(rows["hash"].isNull() | F.col("met"))
-    sums = met.groupBy("id", "host", "tk").agg(F.sum("words").alias("words"), F.sum(rows["hash"].isNull().cast("int")).alias("copies"))
-    return sums.select("id", "host", "tk", (F.col("words") / F.col("copies")).cast("long").alias("removed"))
+def _removed(met: str = "met") -> Column:
+    """Words in frequent lines."""
+    return F.coalesce(F.aggregate(met, F.lit(0).cast("long"), lambda a, x: a + F.when(x["frequent"], x["words"]).otherwise(0)), F.lit(0).cast("long"))
+
 
+def _clean(text: Column, met: str = "met") -> Column:
+    """The text without its frequent lines, the others as they are."""
+    return F.when(F.col(met).isNull(), text).when(text.isNotNull(), F.array_join(F.transform(F.filter(met, lambda x: ~x["frequent"]), lambda x: x["raw"]), "\n"))
 
-def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = 100, least_share: float = 0.2) -> DataFrame:
-    """One row per document: id, tk, host, the five statistics, removed words, base_failed, kept.
+
+def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", percent: int = 2, least: int = 5, least_share: float = 0.2) -> DataFrame:
+    """One row per document: id, tk, host, the five statistics, removed words, clean_text, base_failed, kept.
 
     ``base_failed``: fewer than 10 words, or over 20 % of the words in repeated 5-word windows.
-    ``depleted``: frequent lines (in over ``limit`` distinct texts of the host) hold more than
-    ``1 - least_share`` of the words.  Null and empty texts have no words and fail; a null host is
-    a host of its own; repeated rows get a row each.
+    ``clean_text``: the text without the lines that are frequent on its host, which is those in
+    over ``percent`` of its distinct texts and ``least`` of them or more.  A document is depleted,
+    and not kept, if under ``least_share`` of its words are left.  Null and empty texts have no
+    words and fail; a null host is a host of its own; repeated rows get a row each.
     """
     arrow_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    rows = with_frequent_lines(docs, host_col, text_col, percent, least, id=F.col(id_col), host=F.col(host_col), tk=text_key(text), text=text)
+    rows = rows.select("id", "host", "tk", "text", _removed().alias("removed"), _clean(F.col("text")).alias("clean_text"))
     names = [x.split()[0] for x in _STATS.split(", ")]
-    schema = rows.select("id", "host", "tk", *[F.lit(0).cast("long").alias(n) for n in names]).schema
+    schema = rows.select("id", "host", "tk", "removed", "clean_text", *[F.lit(0).cast("long").alias(n) for n in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stats = np.array([text_statistics(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("id", "host", "tk")] + [pa.array(np.ascontiguousarray(stats[:, k])) for k in range(len(names))], ["id", "host", "tk", *names])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in ("id", "host", "tk", "removed", "clean_text")] + [pa.array(np.ascontiguousarray(stats[:, k])) for k in range(len(names))], ["id", "host", "tk", "removed", "clean_text", *names])
 
     stats = rows.mapInArrow(run, schema)
-    lost = depletion(docs, id_col, host_col, text_col, limit).select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("tk").alias("_tk"), F.col("removed").alias("_removed"))
-    joined = stats.join(lost, stats["id"].eqNullSafe(lost["_id"]) & stats["host"].eqNullSafe(lost["_host"]) & (stats["tk"] == lost["_tk"]), "left")
-    removed = F.coalesce(F.col("_removed"), F.lit(0))
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    depleted = F.col("n_words") - removed < least_share * F.col("n_words")
-    return joined.select("id", "tk", "host", *names, removed.alias("removed"), base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
+    depleted = F.col("n_words") - F.col("removed") < least_share * F.col("n_words")
+    return stats.select("id", "tk", "host", *names, "removed", "clean_text", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **rules) -> DataFrame:
-    """The documents that :func:`judge` keeps, with all their columns."""
-    good = judge(docs, id_col, host_col, text_col, **rules).filter("kept").select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("tk").alias("_good")).distinct()
+    """The documents that :func:`judge` keeps, with all their columns, their texts without frequent lines."""
+    good = judge(docs, id_col, host_col, text_col, **rules).filter("kept").select(F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("tk").alias("_good"), F.col("clean_text").alias("_clean"))
+    good = good.dropDuplicates(["_id", "_host", "_good"])
     keyed = packed(docs, _i=F.col(id_col), _h=F.col(host_col), _t=text_key(F.col(text_col)))
     same = keyed["_i"].eqNullSafe(good["_id"]) & keyed["_h"].eqNullSafe(good["_host"]) & (keyed["_t"] == good["_good"])
-    return unpacked(keyed.join(good, same, "left_semi"))
+    return unpacked(keyed.join(good, same).withColumn("_row", F.col("_row").withField(text_col, F.col("_clean"))))
 
 
-def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limit: int = 100) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", percent: int = 2, least: int = 5) -> DataFrame:
     """(id, clean_text): each text without its frequent lines, the other lines as they are; null stays null."""
-    frequent = written(frequent_lines(docs, host_col, text_col, limit), "lines").withColumn("met", F.lit(True)).withColumnRenamed("host", "_host")
-    if frequent.count() <= MAX_BROADCAST_LINES:
-        frequent = F.broadcast(frequent)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).isNull().alias("none"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    rows = rows.withColumn("hash", F.get(lines_of(F.col("line")), F.lit(0))["hash"])
-    left = rows.join(frequent, rows["host"].eqNullSafe(frequent["_host"]) & (rows["hash"] == frequent["hash"]), "left").filter(F.col("met").isNull())
-    whole = left.groupBy("id", "host", "tk", "none").agg(F.array_sort(F.collect_set(F.struct("at", "line"))).alias("lines"))
-    clean = whole.select(F.col("id").alias("_id"), F.col("host").alias("_h"), F.col("tk").alias("_t"), F.when(~F.col("none"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("text"))
-    base = docs.select(F.col(id_col), F.col(host_col).alias("_host"), text_key(F.col(text_col)).alias("_tk"), F.col(text_col).isNull().alias("_none"))
-    joined = base.join(clean, base[id_col].eqNullSafe(clean["_id"]) & base["_host"].eqNullSafe(clean["_h"]) & (base["_tk"] == clean["_t"]), "left")
-    return joined.select(id_col, F.when(~F.col("_none"), F.coalesce("text", F.lit(""))).alias("clean_text"))
+    rows = with_frequent_lines(docs, host_col, text_col, percent, least, **{id_col: F.col(id_col), "text": F.col(text_col)})
+    return rows.select(id_col, _clean(F.col("text")).alias("clean_text"))

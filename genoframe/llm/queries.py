@@ -24,7 +24,7 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
-    return judged.withColumnRenamed("id", "doc_id").drop("tk", "host")
+    return judged.withColumn("clean_md5", F.md5(F.coalesce("clean_text", F.lit("")))).withColumnRenamed("id", "doc_id").drop("tk", "host", "clean_text")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,6 +372,8 @@ def test_pipeline_stages(spark, docs, texts):
     assert kept.columns == docs.columns
     want = {r["id"] for r in quality.judge(docs).filter("kept").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert texts == {r["id"]: r["clean_text"] for r in quality.judge(docs).filter("kept").collect()}
     first = corpus_pipeline.near_dedup(spark, kept, SF)
     label = components([plain_fingerprint(texts[i]) for i in want], 4)
     least = {}

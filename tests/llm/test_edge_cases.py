@@ -116,7 +116,7 @@ def test_spans_are_removed(odd_docs, benchmark):
 def test_frequent_lines_are_removed(spark):
     rows = [(k, f"shared banner line\nown text {'abcdef'[k]} stands here" + "\nagain" * (k % 2), "h") for k in range(6)] + [(9, None, "h"), (None, "shared banner line", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r["clean_text"] for r in quality.without_frequent_lines(docs, limit=3).collect()}
+    got = {r["doc_id"]: r["clean_text"] for r in quality.without_frequent_lines(docs, percent=50, least=4).collect()}
     assert got[0] == "own text a stands here" and got[1] == "own text b stands here\nagain" and got[9] is None and got[None] == "shared banner line"
 
 
@@ -125,15 +125,24 @@ def test_depleted_documents_are_rejected(spark):
     word = F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")
     tail = F.when(F.col("id") == 5, "a long tail of words that no other document of the host has at all").otherwise("")
     many = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight nine ten eleven twelve\n"), word, F.lit(" "), tail).alias("text"), F.lit("h").alias("source"))
-    judged = {r["id"]: r for r in quality.judge(many, limit=100).collect()}
+    judged = {r["id"]: r for r in quality.judge(many).collect()}
     assert judged[0]["removed"] == 12 and not judged[0]["kept"] and not judged[0]["base_failed"]
     assert judged[5]["removed"] == 12 and judged[5]["kept"]
-    assert all(r["kept"] for r in quality.judge(many, limit=300).collect())
+    assert all(r["kept"] for r in quality.judge(many, least=301).collect())
+
+
+def test_frequent_lines_are_joined_beyond_the_bound(spark, monkeypatch):
+    rows = [(k, f"shared banner line\nown text {'abcdef'[k]} stands here", None if k % 2 else "h") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(repr, quality.judge(docs, percent=50, least=3).collect()))
+    assert sum("removed=3" in r for r in few) == 6
+    monkeypatch.setattr(quality, "MAX_BROADCAST_LINES", 0)
+    assert sorted(map(repr, quality.judge(docs, percent=50, least=3).collect())) == few
 
 
 def test_copies_do_not_make_lines_frequent(spark):
     copies = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("one two three four five six seven eight nine ten eleven\ntwelve thirteen").alias("text"), F.lit("h").alias("source"))
-    assert quality.judge(copies, limit=100).filter("kept").count() == 300
+    assert quality.judge(copies).filter("kept").count() == 300
 
 
 def test_lm_scores_are_negative_and_counts_right(odd_docs):
