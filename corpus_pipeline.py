@@ -9,14 +9,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from genoframe.llm import decontaminate, mixing, quality, sharding, simhash
 from genoframe.llm._common import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules keep, without the lines that are frequent on their hosts."""
+    return quality.keep_good(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
