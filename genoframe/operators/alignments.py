@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
 from .sweep import depth_runs, genome_coverage
 
 #: Bits of the FLAG field.
@@ -97,7 +98,9 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     place = Window.partitionBy("_own")
     first = place.orderBy(F.col("_alone").desc(), F.desc("score"), "id")
     y = x.join(losers, "qname", "left").withColumn("_alone", F.col("_seen") & ~F.col("_pair"))
-    y = y.withColumns({"_any": F.max(F.col("_pair").cast("int")).over(place), "_rank": F.row_number().over(first)})
+    # Reads that are not examined have no place, and would all meet in one window.
+    seen = y.filter("_seen").withColumns({"_any": F.max(F.col("_pair").cast("int")).over(place), "_rank": F.row_number().over(first)})
+    y = seen.unionByName(y.filter("NOT _seen").withColumns({"_any": F.lit(0), "_rank": F.lit(1)}))
     lost = F.col("_pair") & F.coalesce("_lost", F.lit(False)) | F.col("_alone") & ((F.col("_any") == 1) | (F.col("_rank") > 1))
     return y.withColumn("is_duplicate", lost).drop("_seen", "_pair", "_own", "_lost", "_alone", "_any", "_rank")
 
@@ -195,3 +198,13 @@ def sort_alignments(df: DataFrame, by: str = "coordinate", rank: DataFrame | Non
 def to_bed(df: DataFrame) -> DataFrame:
     """Mapped reads as intervals with name, score (mapping quality) and strand."""
     return df.filter(none_of(UNMAPPED)).select(F.col("rname").alias("chrom"), (F.col("pos") - 1).alias("start"), (F.col("pos") - 1 + F.col("len")).alias("end"), F.col("qname").alias("name"), F.col("mapq").alias("score"), F.when(has(REVERSE), "-").otherwise("+").alias("strand"))
+
+
+def to_fastq(df: DataFrame, skip: int = SECONDARY | SUPPLEMENTARY) -> DataFrame:
+    """(id, mate, line): primary reads as FASTQ records in the direction they were sequenced, mates numbered by their flags."""
+    back = F.col("flag").bitwiseAND(REVERSE) != 0
+    seq, qual = F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), F.when(back, F.reverse("qual")).otherwise(F.col("qual"))
+    mate = F.when(F.col("flag").bitwiseAND(0x40) != 0, 1).when(F.col("flag").bitwiseAND(0x80) != 0, 2).otherwise(0)
+    name = F.concat(F.col("qname"), F.when(mate > 0, F.concat(F.lit("/"), mate)).otherwise(""))
+    record = F.concat(F.lit("@"), name, F.lit("\n"), F.coalesce(seq, F.lit("N")), F.lit("\n+\n"), F.coalesce(qual, F.lit("!")))
+    return df.filter(F.col("flag").bitwiseAND(skip) == 0).select("id", mate.alias("mate"), record.alias("line"))

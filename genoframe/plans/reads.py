@@ -124,7 +124,7 @@ QUERIES = {
       SELECT length(seq) AS n, sum(length(seq)) AS b FROM rd GROUP BY 1)), (SELECT unnest([50, 75, 90]) AS share) WHERE upto * 100 >= share * total GROUP BY share""")),
     "runs_of_base": (runs_of_base, rd_sql("""SELECT id, min(cycle) - 1 AS start, max(cycle) AS "end", 'N' AS b FROM (
       SELECT *, cycle - row_number() OVER (PARTITION BY id ORDER BY cycle) AS k FROM e WHERE b = 'N') GROUP BY id, k HAVING count(*) >= 2""", _EACH)),
-    "reverse_complements": (reverse_complements, None),
+    "reverse_complements": (reverse_complements, rd_sql(f"SELECT id, md5({_RC.format('seq')}) AS reverse_complement, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(seq, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g'), 'N+', 'N', 'g')) AS compressed FROM rd")),
     "subsequences": (subsequences, rd_sql(f"""SELECT id AS chrom, 10 AS start, 50 AS "end", CASE WHEN id % 2 = 0 THEN substring(seq, 11, 40) ELSE {_RC.format('substring(seq, 11, 40)')} END AS seq FROM rd WHERE length(seq) >= 60""")),
     "nucleotides": (nucleotides, rd_sql("""SELECT id AS chrom, round((length(seq) - length(replace(replace(seq, 'A', ''), 'T', ''))) / length(seq), 6) AS at_share,
       round((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / length(seq), 6) AS gc_share, length(seq) - length(replace(seq, 'N', '')) AS n_n, length(seq) AS length, coalesce(m, 0) AS matches

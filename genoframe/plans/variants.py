@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import variant_filters as VF
 from ..operators import variants as V
 from .views import genotypes, gt_sql, table
 
@@ -129,7 +130,7 @@ def scatter(spark, d):
 
 def site_sets(spark, d):
     x = sites(spark, d)
-    return V.intersection({"a": x.filter("pos % 2 = 0"), "b": x.filter("pos % 3 = 0"), "c": x.filter("pos % 5 = 0")}, "all", least=2).select("chrom", "pos", F.array_join("sets", ",").alias("sets"), F.col("n").cast("int").alias("n"))
+    return V.intersection({"all": x, "named": x.filter("id IS NOT NULL"), "passed": x.filter(F.array_contains("filter", "PASS")), "scored": x.filter("qual IS NOT NULL")}, "all", least=2).select("chrom", "pos", F.array_join("sets", ",").alias("sets"), F.col("n").cast("int").alias("n"))
 
 
 def merged_sets(spark, d):
@@ -172,15 +173,41 @@ def variant_keys(spark, d):
 
 
 def reference_blocks(spark, d):
-    g = genotypes(spark, d).filter("sample = 3").withColumns({"chrom": F.lit("x"), "dp": F.col("dp")})
-    return V.reference_blocks(g).select("chrom", "start", "end", F.col("band").cast("int").alias("band"), "least")
-
-
-def reference_blocks_all_samples(spark, d):
     g = genotypes(spark, d).withColumn("chrom", F.lit("x"))
     return V.reference_blocks(g).select("sample", "chrom", "start", "end", F.col("band").cast("int").alias("band"), "least")
 
 
+def site_bounds(spark, d):
+    return VF.filter_sites(variants(spark, d), alleles_between=(2, 2), maf_between=(0.2, 0.5), call_rate=0.9, quality=905.0, indels=False).select("chrom", "pos")
+
+
+def site_names(spark, d):
+    named = table(spark, d, "part").filter("p_size <= 25").select(F.concat(F.lit("rs"), F.col("p_partkey")).alias("id"))
+    return VF.filter_sites(variants(spark, d), ids=named, mac_between=(2, None), passed=True).select("chrom", "pos")
+
+
+def allele_summary(spark, d):
+    return VF.allele_summary(variants(spark, d)).select("chrom", "pos", "an", "ac", _r("maf"), _r("call_rate"))
+
+
+def genotype_bounds(spark, d):
+    x = VF.filter_genotypes(variants(spark, d), quality=30, depth=(10, 40))
+    return VF.format_table(x, "GT").select("chrom", "pos", "sample", F.col("value").alias("gt"))
+
+
+def sample_subset(spark, d):
+    x = VF.select_samples(variants(spark, d), ["s01", "s04", "s07", "s10"], variable=True)
+    return x.select("chrom", "pos", F.col("info")["AC"].alias("ac"), F.col("info")["AN"].alias("an"), F.array_join(F.transform("samples", lambda s: s["name"]), ",").alias("samples"))
+
+
+def info_table(spark, d):
+    return VF.info_table(sites(spark, d), ["DP", "AFS"]).withColumnsRenamed({"DP": "dp", "AFS": "afs"})
+
+
+def format_table(spark, d):
+    return VF.format_table(variants(spark, d), "GQ")
+
+
 _B = "substring('ACGT', CAST(({0}) % 4 + 1 AS INT), 1)".format
 _VS = f"""vs AS (SELECT 'p' || (p_size % 20) AS chrom, p_partkey + 1 AS pos, CASE WHEN p_partkey % 2 = 0 THEN 'rs' || p_partkey END AS id, {_B('p_size')} AS ref,
   CASE WHEN p_partkey % 5 = 0 THEN {_B('p_size')} || {_B('p_partkey')} ELSE {_B('p_size + 1 + p_partkey % 3')} END AS alt1,
@@ -230,8 +257,8 @@ QUERIES = {
     "near_indels": (near_indels, _sql("""SELECT x.chrom, x.pos, bool_or(coalesce(y.pos <> x.pos AND (length(y.alt1) > 1 OR y.alt2 IS NOT NULL), FALSE)) AS near_indel FROM vs x LEFT JOIN vs y ON x.chrom = y.chrom AND abs(x.pos - y.pos) <= 30 GROUP BY ALL""")),
     "prune_windows": (prune_windows, _sql("SELECT chrom, pos FROM vs QUALIFY row_number() OVER (PARTITION BY chrom, (pos - 1) // 100 ORDER BY qual DESC NULLS LAST, pos) <= 2")),
     "scatter": (scatter, _sql("SELECT chrom, pos, (row_number() OVER (PARTITION BY chrom ORDER BY pos, ref) - 1) // 25 AS chunk FROM vs")),
-    "site_sets": (site_sets, _sql("""SELECT chrom, pos, concat_ws(',', CASE WHEN pos % 2 = 0 THEN 'a' END, CASE WHEN pos % 3 = 0 THEN 'b' END, CASE WHEN pos % 5 = 0 THEN 'c' END) AS sets,
-      CAST(pos % 2 = 0 AS INT) + CAST(pos % 3 = 0 AS INT) + CAST(pos % 5 = 0 AS INT) AS n FROM vs WHERE CAST(pos % 2 = 0 AS INT) + CAST(pos % 3 = 0 AS INT) + CAST(pos % 5 = 0 AS INT) >= 2""")),
+    "site_sets": (site_sets, _sql("""SELECT chrom, pos, concat_ws(',', 'all', CASE WHEN id IS NOT NULL THEN 'named' END, CASE WHEN filter = 'PASS' THEN 'passed' END, CASE WHEN qual IS NOT NULL THEN 'scored' END) AS sets,
+      1 + CAST(id IS NOT NULL AS INT) + CAST(coalesce(filter = 'PASS', FALSE) AS INT) + CAST(qual IS NOT NULL AS INT) AS n FROM vs WHERE id IS NOT NULL OR filter = 'PASS' OR qual IS NOT NULL""")),
     "merged_sets": (merged_sets, None),
     "annotate_sites": (annotate_sites, _sql("""SELECT chrom, vs.pos, flags, dp::VARCHAR AS dp FROM vs LEFT JOIN (SELECT pos, string_agg(l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM (SELECT DISTINCT l_partkey + 1 AS pos, l_returnflag FROM lineitem) GROUP BY pos) f ON vs.pos = f.pos""")),
     "trio_statistics": (trio_statistics, _sql("SELECT count(*) AS sites, count(*) FILTER (NOT good) AS errors, count(*) FILTER (tested AND good) AS tested, count(*) FILTER (tested AND good AND c1 + c2 > 0) AS transmitted FROM tq", _TRIO)),
@@ -240,8 +267,17 @@ QUERIES = {
       SELECT chrom, pos, c1 IN (f1, f2) AND c2 IN (m1, m2) AS pf, c2 IN (f1, f2) AND c1 IN (m1, m2) AS mf FROM tr WHERE gt LIKE '%|%' AND c1 <> c2) WHERE pf <> mf) GROUP BY chrom""", _TRIO)),
     "ploidy_runs": (ploidy_runs, _sql("SELECT name AS sample, chrom, min(pos) AS start, max(pos) AS \"end\", 2 AS ploidy FROM sg GROUP BY name, chrom")),
     "variant_keys": (variant_keys, None),
-    "reference_blocks": (reference_blocks, _sql("""SELECT 'x' AS chrom, min(pos) AS start, max(pos) AS "end", band, min(dp) AS least FROM (
-      SELECT *, pos - row_number() OVER (PARTITION BY band ORDER BY pos) AS k FROM (SELECT pos, dp, CASE WHEN dp >= 40 THEN 4 WHEN dp >= 20 THEN 3 WHEN dp >= 10 THEN 2 WHEN dp >= 1 THEN 1 ELSE 0 END AS band FROM v WHERE sample = 3)) GROUP BY band, k""")),
-    "reference_blocks_all_samples": (reference_blocks_all_samples, _sql("""SELECT sample, 'x' AS chrom, min(pos) AS start, max(pos) AS "end", band, min(dp) AS least FROM (
+    "site_bounds": (site_bounds, _sql("""SELECT chrom, pos FROM vs JOIN (SELECT chrom, pos, count(a1) AS c, count(*) AS n, sum(a1 + a2) AS ac FROM v GROUP BY chrom, pos) USING (chrom, pos)
+      WHERE alt2 IS NULL AND length(alt1) = 1 AND qual >= 905 AND c / n >= 0.9 AND least(ac / (2 * c), 1 - ac / (2 * c)) BETWEEN 0.2 AND 0.5""")),
+    "site_names": (site_names, _sql("""SELECT chrom, pos FROM vs JOIN (SELECT chrom, pos, 2 * count(a1) AS an, sum(a1 + a2) AS ac FROM v GROUP BY chrom, pos) USING (chrom, pos)
+      WHERE id IN (SELECT 'rs' || p_partkey FROM part WHERE p_size <= 25) AND coalesce(filter, 'PASS') = 'PASS' AND least(ac, an - ac) >= 2""")),
+    "allele_summary": (allele_summary, _sql("""SELECT chrom, pos, coalesce(an, 0) AS an, coalesce(ac, 0) AS ac, round(least(ac / nullif(an, 0), 1 - ac / nullif(an, 0)), 6) AS maf, round(c / n, 6) AS call_rate
+      FROM vs LEFT JOIN (SELECT chrom, pos, 2 * count(a1) AS an, coalesce(sum(a1 + a2), 0)::BIGINT AS ac, count(a1) AS c, count(*) AS n FROM v GROUP BY chrom, pos) USING (chrom, pos)""")),
+    "genotype_bounds": (genotype_bounds, _sql("""SELECT chrom, pos, name AS sample, CASE WHEN gq >= 30 AND gq > 10 AND dp BETWEEN 10 AND 40 THEN gt ELSE CASE WHEN dp % 2 = 0 THEN '.|.' ELSE './.' END END AS gt FROM sg""")),
+    "sample_subset": (sample_subset, _sql("""SELECT vs.chrom, vs.pos, n || CASE WHEN alt2 IS NOT NULL THEN ',0' ELSE '' END AS ac, k::VARCHAR AS an, samples FROM vs JOIN (
+      SELECT chrom, pos, sum(a1 + a2)::BIGINT AS n, 2 * count(a1) AS k, string_agg(name, ',' ORDER BY name) AS samples FROM sg WHERE name IN ('s01', 's04', 's07', 's10') GROUP BY chrom, pos HAVING sum(a1 + a2) > 0) USING (chrom, pos)""")),
+    "info_table": (info_table, _sql("SELECT chrom, pos, ref, concat_ws(',', alt1, alt2) AS alt, coalesce(dp::VARCHAR, '?') AS dp, af1 || ',' || af2 AS afs FROM vs")),
+    "format_table": (format_table, _sql("SELECT chrom, pos, name AS sample, CASE WHEN gq > 10 THEN gq::VARCHAR ELSE '.' END AS value FROM sg")),
+    "reference_blocks": (reference_blocks, _sql("""SELECT sample, 'x' AS chrom, min(pos) AS start, max(pos) AS "end", band, min(dp) AS least FROM (
       SELECT *, pos - row_number() OVER (PARTITION BY sample, band ORDER BY pos) AS k FROM (SELECT sample, pos, dp, CASE WHEN dp >= 40 THEN 4 WHEN dp >= 20 THEN 3 WHEN dp >= 10 THEN 2 WHEN dp >= 1 THEN 1 ELSE 0 END AS band FROM v)) GROUP BY sample, band, k""")),
 }

@@ -107,8 +107,9 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, description, seq, by records that '>' opens; a record is held whole."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    """id, description, seq, by records that a '>' at the start of a line opens; a record is held whole."""
+    records = spark.read.option("lineSep", "\n>").text(path).filter(F.trim("value") != "")
+    records = records.select(F.regexp_replace("value", "^>", "").alias("value"))  # the first of a file
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
     return records.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), body.alias("seq"))

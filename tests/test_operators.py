@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from genoframe.functions import cigar, sequence, stats
 from genoframe.functions.filter_lang import compile_filter, compile_format
 from genoframe.operators import alignments, colops, models, nearest, overlap, popgen, reads, sweep, transform, variants
+from genoframe.operators import variant_filters as VF
 from genoframe.sources import sinks, text
 
 IV = "id long, chrom string, start long, end long, strand string"
@@ -219,3 +220,36 @@ def test_reference_blocks_of_each_sample(spark):
     rows = [("a", "x", 1, 5), ("b", "x", 1, 30), ("a", "x", 2, 6), ("b", "x", 2, 25), ("a", "x", 3, 15), ("b", "x", 4, 30)]
     got = variants.reference_blocks(spark.createDataFrame(rows, "sample string, chrom string, pos long, dp int")).select("sample", "start", "end", "band", "least").collect()
     assert sorted(map(tuple, got)) == [("a", 1, 2, 1, 5), ("a", 3, 3, 2, 15), ("b", 1, 2, 3, 25), ("b", 4, 4, 3, 30)]
+
+
+def test_fasta_records_begin_at_lines(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">x A->B mutant\nACGT\nAC\n>y\r\nGG\r\n>z > w\n")
+    got = {r["id"]: (r["description"], r["seq"]) for r in text.read_fasta(spark, str(tmp_path / "x.fa")).collect()}
+    assert got == {"x": ("A->B mutant", "ACGTAC"), "y": ("", "GG"), "z": ("> w", "")}
+
+
+def test_variant_filters_on_odd_rows(spark):
+    schema = "chrom string, pos long, id string, ref string, alt array<string>, qual double, filter array<string>, info map<string,string>, samples array<struct<name:string,gt:string,data:map<string,string>>>"
+    rows = [
+        ("1", 1, "a", "A", ["C", "T"], 10.0, None, {"DP": "3"}, [("s", "0/1", {"DP": "5"}), ("t", "2|2", {"DP": "50", "GQ": "9"}), ("u", ".", None)]),
+        ("1", 2, None, "A", ["AT"], None, ["q"], {}, []), ("1", 3, "c", "A", ["G"], 5.0, ["PASS"], {"AC": "9"}, [("s", "./1", {}), ("t", "0", {"GQ": "x"}), ("u", "0/0", {"GQ": "99", "DP": "20"})]),
+    ]
+    v = spark.createDataFrame(rows, schema)
+    pos = lambda df: sorted(r["pos"] for r in df.collect())
+    assert [(r["an"], r["ac"], r["call_rate"]) for r in VF.allele_summary(v).orderBy("pos").collect()] == [(4, 3, pytest.approx(2 / 3)), (0, 0, None), (4, 1, pytest.approx(2 / 3))]
+    assert pos(VF.filter_sites(v, alleles_between=(2, 2))) == [2, 3] and pos(VF.filter_sites(v, passed=True)) == [1, 3] and pos(VF.filter_sites(v, quality=0)) == [1, 3]
+    assert pos(VF.filter_sites(v, indels=True)) == [2] and pos(VF.filter_sites(v, call_rate=0.1, maf_between=(0, 0.3))) == [1, 3]
+    names = spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    assert pos(VF.filter_sites(v, ids=names)) == [1] and pos(VF.filter_sites(v, exclude_ids=names)) == [2, 3]
+    gts = [[s["gt"] for s in r["samples"]] for r in VF.filter_genotypes(v, quality=9, depth=(1, None)).orderBy("pos").collect()]
+    assert gts == [["./.", "2|2", "."], [], ["./.", ".", "0/0"]]
+    kept = VF.select_samples(v, ["t", "u"], variable=True).collect()
+    assert [(r["pos"], r["info"]) for r in kept] == [(1, {"DP": "3", "AC": "0,2", "AN": "2"})]
+    assert VF.select_samples(v, ["t", "u"], exclude=True).filter("pos = 3").first()["info"] == {"AC": "1", "AN": "1"}
+    assert VF.format_table(v, "DP").count() == 6 and VF.info_table(v.limit(0), ["DP"]).count() == 0
+
+
+def test_unexamined_reads_are_no_duplicates(spark):
+    rows = [(k, f"q{k}", 4, None, None, 0) for k in range(5)] + [(k, f"q{k}", 0, "c", 7, k) for k in (10, 11)]
+    df = spark.createDataFrame(rows, "id long, qname string, flag int, rname string, start5 long, score long")
+    assert {r["id"] for r in alignments.mark_duplicates(df).filter("is_duplicate").collect()} == {10}
