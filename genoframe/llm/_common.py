@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -69,10 +70,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the session's checkpoint folder.
 
-    Only where the session has none (tests on one machine) a temporary one is set.
+    Only where the session has none and runs in one process (tests) a temporary one is set; on a
+    cluster that would be a folder of one machine, so there its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         folder = "file://" + tempfile.mkdtemp(prefix="genoframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -21,6 +21,11 @@ def _escaped(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _named(speaker: Column) -> Column:
+    """A speaker's name as it stands in a header, which is one line."""
+    return F.regexp_replace(_escaped(speaker), "[\r\n]", " ")
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: str = "system") -> DataFrame:
     """Segments: conv, perspective, seq, turn, role, name, segment, start, stop, mask_start, mask_stop.
 
@@ -31,7 +36,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     in it.  mask_start/mask_stop bound what the perspective trains on (its own texts with their
     end marks) and are null elsewhere.
 
-    Turns are ordered by turn number (null first), then speaker, then text.  Null speakers are
+    Line ends in a speaker's name are spaces in the header.  Turns are ordered by turn number (null first), then speaker, then text.  Null speakers are
     named by the empty string, null texts are empty, a null conversation id is a conversation of
     its own.  Repeated rows are turns each.  Conversations of system turns alone have no
     participant and give no row.
@@ -48,7 +53,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     every = some.groupBy("key").agg(F.array_remove(F.array_distinct(F.flatten(F.collect_list("speakers"))), system).alias("perspectives"))
     views = t.join(some.select("key", "at").join(every, "key"), ["key", "at"]).withColumn("perspective", F.explode("perspectives"))
     own, of_system = F.col("speaker") == F.col("perspective"), F.col("speaker") == system
-    head = F.when(of_system, f"{OPEN}system\n").when(own, f"{OPEN}assistant\n").otherwise(F.concat(F.lit(f"{OPEN}user name="), _escaped(F.col("speaker")), F.lit("\n")))
+    head = F.when(of_system, f"{OPEN}system\n").when(own, f"{OPEN}assistant\n").otherwise(F.concat(F.lit(f"{OPEN}user name="), _named(F.col("speaker")), F.lit("\n")))
     views = views.withColumns({"head": head, "segment": F.concat(head, _escaped(F.col("text")), F.lit(f"{CLOSE}\n"))})
     placed = running(views, ["key", "perspective"], F.col("at"), [F.col("seq")], F.char_length("segment"), "start")
     stop = F.col("start") + F.char_length("segment")
@@ -69,7 +74,7 @@ p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 's
 v AS (
   SELECT t.*, perspective,
          CASE WHEN speaker = 'system' THEN '{OPEN}system' WHEN speaker = perspective THEN '{OPEN}assistant'
-              ELSE '{OPEN}user name=' || replace(speaker, '<|', '< |') END || chr(10) AS head,
+              ELSE '{OPEN}user name=' || regexp_replace(replace(speaker, '<|', '< |'), '[\\r\\n]', ' ', 'g') END || chr(10) AS head,
          replace(text, '<|', '< |') || '{CLOSE}' || chr(10) AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 s AS (

@@ -77,13 +77,14 @@ def propagate(groups: DataFrame, total: int, shards: int, rounds: int) -> DataFr
     return cells.select("g", "shard", "n")
 
 
-def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 8, overhead: int = 16, salts: int = 256) -> DataFrame:
+def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 40, overhead: int = 16, salts: int = 256) -> DataFrame:
     """Shard and slot of every document under the law ``rows``: shard counts differ by one at most.
 
     Returns id, size (UTF-8 bytes plus ``overhead``; null text: no bytes), text_crc32, law,
     shard, slot (gapless from 0 in each shard), grown_shard (null: this law has none).  Null and
     empty texts are one group of equal texts.  Repeated rows get a slot each; an empty table
-    gives an empty result.  Documents without links fill what room the linked ones leave.
+    gives an empty result.  Propagation ends when nothing moves, or after ``rounds`` rounds; links that
+    are cut then stay cut, and sizes are even in any case.  Documents without links fill what room the linked ones leave.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("crc"), text_key(F.col(text_col)).alias("g"))

@@ -11,6 +11,12 @@ at most.  Of fingerprints that differ in 4 bits or fewer, three segments leave t
   codewords of the other, for both segments: keys (nearest, near) and (near, nearest).
 
 So every linked pair meets in a bucket, and buckets are verified bit by bit.
+
+Copies of a shingle similarity of 0.8 or more differ in far more bits.  For them there is a wide
+form: 128 bits, cut into five segments of 23 and a rest; for each two segments the keys (nearest
+codeword of one, near codewords of the other).  Pairs meet where one side's nearest codewords are
+near ones of the other in two segments, which is likely and not certain; :data:`WIDE_BITS` bits
+decide.  Keys have 24 bits, so buckets stay small up to some ten million distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -34,11 +40,14 @@ GENERATOR = 0b110001110101
 #: Buckets with more distinct fingerprints are compared in pairs of blocks, each a task of its own.
 BLOCK = 2048
 
+#: Differing bits of 128 up to which the wide form links.  A shingle similarity of 0.8 gives 19 on average, 0.7 gives 25, unrelated texts 64.
+WIDE_BITS = 22
+
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """64-bit SimHash over the word shingles of a text: XXH64 (seed 42), a bit is 1 if set in over half of them.
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash over the word shingles of a text: XXH64, a bit is 1 if set in over half of them.
 
     Fewer words than a shingle has: the whole sequence is the only shingle; none or null: zero.
     """
@@ -53,7 +62,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     counts, view = np.zeros(64, np.int64), memoryview(joined)
     for k in range(0, n, 1 << 16):
-        h = np.array([digest(view[a:b], 42) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], np.uint64)
+        h = np.array([digest(view[a:b], seed) for a, b in zip(starts[k : k + (1 << 16)], stops[k : k + (1 << 16)], strict=True)], np.uint64)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
@@ -262,6 +271,121 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def wide_keys(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bucket keys of unsigned 128-bit fingerprints, given as halves: n x 120, with repeats."""
+    mask = np.uint64((1 << 23) - 1)
+    middle = low >> np.uint64(46) | high << np.uint64(18)
+    segment = [x.astype(np.int64) for x in (low & mask, low >> np.uint64(23) & mask, middle & mask, high >> np.uint64(5) & mask, high >> np.uint64(28) & mask)]
+    near, keys = [near_codewords(s) for s in segment], []
+    for tag, (i, j) in enumerate(combinations(range(5), 2)):
+        keys += [tag << 24 | near[i][:, :1] << 12 | near[j], tag << 24 | near[i] << 12 | near[j][:, :1]]
+    return np.concatenate(keys, axis=1)
+
+
+def wide_forest(low: np.ndarray, high: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes that connect what links of ``bits`` or fewer differing bits of 128 connect."""
+    left, a, b = np.arange(len(node)), [], []
+    while len(left) > 1:
+        queue, left, at = [left[0]], left[1:], 0
+        while at < len(queue) and len(left):
+            near = np.bitwise_count(low[left] ^ low[queue[at]]) + np.bitwise_count(high[left] ^ high[queue[at]]) <= bits
+            at += 1
+            if near.any():
+                queue.extend(left[near])
+                left = left[~near]
+        if len(queue) > 1:
+            group = np.unique(node[queue])
+            a.append(group[1:])
+            b.append(np.full(len(group) - 1, group[0]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+
+
+def wide_links(fps: DataFrame, bits: int = WIDE_BITS, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between the nodes of distinct wide fingerprints (node, low, high) that meet in a bucket and differ in ``bits`` or fewer bits.
+
+    A bucket of more than ``block`` fingerprints is compared in pairs of blocks, each a group of its own.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                b = whole.slice(k, 4096)
+                column = lambda name, b=b: b.column(name).to_numpy(zero_copy_only=False)
+                keys = np.sort(wide_keys(column("low").view(np.uint64), column("high").view(np.uint64)), axis=1)
+                new = np.concatenate((np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]), axis=1)
+                times = new.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new].astype(np.int32)), *(pa.array(np.repeat(column(x), times)) for x in ("node", "low", "high"))], ["key", "node", "low", "high"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ("part", "key", "node", "low", "high"), None
+
+        def edges(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, node, low, high = x["key"], x["node"], x["low"].view(np.uint64), x["high"].view(np.uint64)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (x["part"][1:] != x["part"][:-1])) + 1
+            starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
+            sizes = stops - starts
+            size_of = np.repeat(sizes, sizes)
+            a, b = [], []
+            for d in range(1, 8):  # buckets of up to 8 rows: all at once
+                i = np.flatnonzero((np.repeat(starts, sizes)[d:] == np.repeat(starts, sizes)[:-d]) & (size_of[:-d] <= 8)) if len(key) > d else np.empty(0, np.int64)
+                ok = np.bitwise_count(low[i] ^ low[i + d]) + np.bitwise_count(high[i] ^ high[i + d]) <= bits
+                a.append(node[i[ok]])
+                b.append(node[i[ok] + d])
+            for g in np.flatnonzero(sizes > 8):
+                own = slice(starts[g], stops[g])
+                p, q = wide_forest(low[own], high[own], node[own], bits)
+                a.append(p)
+                b.append(q)
+            p, q = contract(np.concatenate(a), np.concatenate(b))
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], ["a", "b"])
+
+        for batch in batches:
+            own = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            held = own if held is None else {k: np.concatenate((held[k], own[k])) for k in names}
+            if len(held["key"]):
+                last = int(np.flatnonzero((held["key"] != held["key"][-1]) | (held["part"] != held["part"][-1])).max(initial=-1)) + 1
+                if last:
+                    yield from edges({k: x[:last] for k, x in held.items()})
+                    held = {k: x[last:] for k, x in held.items()}
+        if held is not None and len(held["key"]):
+            yield from edges(held)
+
+    keyed = written(fps.select("node", "low", "high").mapInArrow(spread, "key int, node long, low long, high long"), "keys")
+    large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select(F.col("key").alias("_key"), F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.col("blocks") + F.greatest(own, o))
+    parts = keyed.join(large, F.col("key") == F.col("_key"), "left").select(F.explode(F.coalesce(pairs, F.array(F.lit(0)))).alias("part"), "key", "node", "low", "high")
+    return parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(settle, "a long, b long")
+
+
+def keep_first_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = WIDE_BITS) -> DataFrame:
+    """One document of each group of near copies in shingles of ``words`` words, the one with the smallest id; all its columns stay.
+
+    Texts link where their wide fingerprints meet and differ in ``bits`` of 128 or fewer.  Texts
+    without words (null, empty, blank) are one group; repeated rows are copies; null ids come last.
+    """
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).alias("text"))
+    schema = rows.select("id", "tk", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            halves = [pa.array(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64)) for seed in (42, 43)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tk"), *halves], ["id", "tk", "low", "high"])
+
+    found = written(rows.mapInArrow(run, schema), "wide")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("first")
+    distinct = written(found.groupBy("low", "high").agg(first).withColumn("node", F.xxhash64("low", "high")), "distinct")
+    labels = connected_components(wide_links(distinct, bits))
+    named = distinct.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node"))
+    pick = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.tk").alias("_pick")).distinct()
+    keyed = packed(docs, _i=F.col(id_col), _t=text_key(F.col(text_col)))
+    kept = keyed.join(pick, keyed["_i"].eqNullSafe(pick["_id"]) & (keyed["_t"] == pick["_pick"]), "left_semi")
+    return unpacked(kept.dropDuplicates(["_i", "_t"]))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """One document of each component, the one with the smallest id; all its columns stay."""
     found = near_duplicates(docs, id_col, text_col, words, bits)

@@ -367,6 +367,41 @@ def test_style_tree_removes_what_repeats(spark):
     assert one["text"] == "same words on all pages\nown words 0 of the page"
 
 
+def wide_components(texts, bits):
+    """A label for each text: pairs link that share a key and differ in so few of 128 bits."""
+    halves = {i: [simhash.fingerprint(t, 5, seed) for seed in (42, 43)] for i, t in texts.items()}
+    keys = {i: set(simhash.wide_keys(*(np.array([x], np.uint64) for x in h))[0].tolist()) for i, h in halves.items()}
+    label = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and keys[i] & keys[j] and sum((x ^ y).bit_count() for x, y in zip(halves[i], halves[j], strict=True)) <= bits and label[i] != label[j]:
+                old, new = label[j], label[i]
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 3])
+def test_wide_near_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash.wide_links, "__defaults__", (simhash.WIDE_BITS, block))
+    rng = np.random.default_rng(6)
+    texts = {}
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        for c in range(1 + 3 * (k % 5)):
+            copy = list(own)
+            for at in rng.choice(120, c % 4, replace=False):
+                copy[at] = f"x{rng.integers(9999)}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {len(texts): "", len(texts) + 1: None, len(texts) + 2: "two words"}
+    docs = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(None, texts[0], "z")], "doc_id long, text string, node string")
+    label, least = wide_components(texts, simhash.WIDE_BITS), {}
+    for i in sorted(texts):
+        least.setdefault(label[i], i)
+    kept = [r["doc_id"] for r in simhash.keep_first_similar(docs).collect()]
+    assert sorted(kept) == sorted(least.values()) and len(kept) < len(texts) / 2
+    assert simhash.keep_first_similar(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, docs, texts):
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
     assert kept.columns == docs.columns
@@ -375,11 +410,10 @@ def test_pipeline_stages(spark, docs, texts):
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert texts == {r["id"]: r["clean_text"] for r in quality.judge(docs).filter("kept").collect()}
     first = corpus_pipeline.near_dedup(spark, kept, SF)
-    label = components([plain_fingerprint(texts[i]) for i in want], 4)
+    label, ids = wide_components({i: texts[i] for i in want}, simhash.WIDE_BITS), sorted(want)
     least = {}
-    for i in want:
-        k = label[plain_fingerprint(texts[i])]
-        least[k] = min(i, least.get(k, i))
+    for i in ids:
+        least.setdefault(label[i], i)
     assert {r["doc_id"] for r in first.collect()} == set(least.values())
     clean = corpus_pipeline.decontamination(spark, first, SF)
     bad = {r["doc_id"] for r in decontaminate.report(first, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").collect()}
