@@ -438,3 +438,44 @@ def test_lm_trains_on_and_counts_every_token(spark, docs, texts, monkeypatch):
         ids = np.append(x, lexicon.end).astype(int)
         want += Counter(zip([model.shape.columns, *model.classes.column[ids[:-1]].tolist()], model.classes.column[ids].tolist(), strict=True))
     assert {(a, b): held["follow"][0][a, b] for a, b in np.argwhere(held["follow"][0]).tolist()} == want
+
+
+def test_toxicity_query_on_the_tables(spark):
+    """Held-out rows, predictions, accuracy on held-out labels, and that labels of held-out rows, languages and sources decide nothing."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == docs.count()
+    held = {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {i for i, r in got.items() if r["held_out"]} == held
+    assert all(r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got.values())
+    truth = {r["doc_id"]: r["toxic"] for r in labels.filter("toxic IS NOT NULL").collect() if r["doc_id"] in held}
+    right = sum(got[i]["predicted"] == y for i, y in truth.items())
+    assert right >= 0.95 * len(truth) and len(truth) > 10
+    turned = labels.withColumn("toxic", F.when(F.col("doc_id").isin(*held), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = {r["doc_id"]: r["score"] for r in toxicity.score(docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), turned).collect()}
+    assert other == pytest.approx({i: r["score"] for i, r in got.items()})
+
+
+def test_html_against_pages_put_together(spark):
+    """Pages whose article is known, in several kinds of markup, with boilerplate around it."""
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    pages, want = [], {}
+    for k in range(60):
+        paragraphs = [words(rng.integers(3, 30)) for _ in range(rng.integers(1, 6))]
+        body = "".join(f"<p>{p.replace('w', '&#119;', 1)}<!-- x -->" for p in paragraphs)
+        core = [f"<article><h1>{words(3)}</h1>{body}</article>", f"<main><h1>{words(3)}</h1><div>{body}</div></main>", f"<div><h1>{words(3)}</h1>{body}</div>"][k % 3]
+        title = re.search("<h1>(.*)</h1>", core)[1]
+        noise = f"<nav><ul><li>home<li>about</ul></nav><script>var a = '<p>no</p>';</script><header>site</header><div class='ad-box'>{words(4)}</div>"
+        pages.append((k, f"http://h{k % 3}.example/{k}", f"<!DOCTYPE html><html><head><title>t</title></head><body>{noise}{core}<section id=comments><p>{words(5)}</section><footer>end</footer></body></html>"))
+        want[k] = "\n".join([title, *paragraphs])
+    got = {r["page_id"]: r for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k: r["text"] for k, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_style_tree_alone_removes_what_no_name_gives_away(spark):
+    pages = [(k, "http://h.example/x", f"<body><div><span>Made with care in one place</span></div><div><p>text {k} of its own {k * k}</p></div></body>") for k in range(12)]
+    layout = [(k, u, p.replace("<div><span>", '<div class="zq"><span>').replace("<div><p>", '<div class="zr"><p>')) for k, u, p in pages]
+    got = html.main_text(spark.createDataFrame(layout, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"text {k} of its own {k * k}" for k in range(12)}
