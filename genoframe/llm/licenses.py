@@ -20,21 +20,37 @@ BASE = (
     ("gpl", "[general public license]"),
 )
 TEMPLATES = (
+    ("0bsd", "[permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted]"),
     ("agpl", "[gnu affero general public license]"),
     ("apache", "[licensed under the apache license] version"),
     ("apache", "[unless required by applicable law or agreed to in writing] software distributed under [the license is distributed on an]"),
     ("bsd", "[redistribution and use in source and binary forms] with or without [modification are permitted]"),
+    ("artistic", "[artistic license]"),
+    ("bsd", "[neither the name of]"),
+    ("bsd", "[this software is provided by the copyright holders and contributors as is]"),
     ("bsd", "[bsd 3 clause]"),
     ("bsd", "[bsd 2 clause]"),
+    ("bsl", "[boost software license]"),
+    ("cc0", "[creative commons zero]"),
+    ("cc0", "[cc0 1 0 universal]"),
     ("cc-by", "[creative commons attribution]"),
     ("cc-by", "[licensed under cc by]"),
     ("epl", "[eclipse public license]"),
     ("gpl", "this program is [free software you can redistribute it] and or [modify it under the terms of the gnu general public license]"),
+    ("gpl", "this program is distributed in the hope that it will be useful but [without any warranty without even the implied warranty of merchantability]"),
+    ("isc", "[isc license]"),
     ("isc", "[permission to use copy modify and or distribute this software] for any purpose"),
     ("lgpl", "[gnu lesser general public license]"),
     ("mit", "[permission is hereby granted free of charge] to any person [obtaining a copy of this software]"),
+    ("mit", "[the software is provided as is without warranty of any kind express or implied]"),
+    ("mit", "[the above copyright notice and this permission notice shall be included in all copies or substantial portions]"),
     ("mpl", "[mozilla public license]"),
+    ("mpl", "[this source code form is subject to the terms of the mozilla public license]"),
+    ("python", "[python software foundation license]"),
     ("unlicense", "this is [free and unencumbered software released into the public domain]"),
+    ("wtfpl", "[do what the fuck you want to public license]"),
+    ("zlib", "this software is provided as is [without any express or implied warranty in no event will the authors be held liable]"),
+    ("zlib", "[zlib license]"),
 )
 
 
@@ -79,54 +95,57 @@ def index(base=BASE, more=TEMPLATES, rare: int = 2) -> list[Template]:
     return out
 
 
-def _positions(rare: Column, word: str, offset: int) -> Column:
-    """Where a template would start if ``word`` stood at ``offset`` in it."""
-    return F.transform(F.filter(rare, lambda h: h["w"] == word), lambda h: h["i"] - offset)
+def _literal(value) -> Column:
+    """A literal of nested tuples (arrays) and dictionaries (structs)."""
+    if isinstance(value, tuple):
+        return F.array(*map(_literal, value))
+    if isinstance(value, dict):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.items()])
+    return F.lit(value)
 
 
-def _starts(template: Template, rare: Column, words: Column) -> Column:
-    """Start positions of verified occurrences of a template."""
-    found = None
-    for word, offset in template.anchors:
-        own = _positions(rare, word, offset)
-        found = own if found is None else F.array_intersect(found, own)
+def postings(templates: list[Template]) -> dict[str, tuple[dict, ...]]:
+    """The positional index: for each rare word the templates (t) that have it, the offset (o) there, and how many rare words the template has (n)."""
+    out: dict[str, list[dict]] = {}
+    for t, template in enumerate(templates):
+        for word, offset in template.anchors:
+            out.setdefault(word, []).append({"t": t, "o": offset, "n": len(template.anchors)})
+    return {w: tuple(p) for w, p in sorted(out.items())}
 
-    def verified(c: Column) -> Column:
-        ok = c >= 0
-        for offset, phrase in template.phrases:
-            ok = ok & (F.slice(words, F.greatest(c, F.lit(0)) + (offset + 1), F.lit(len(phrase))) == F.array(*[F.lit(w) for w in phrase]))
-        return ok
 
-    return F.filter(found, verified)
+def _candidates(rare: Column, index: dict[str, tuple[dict, ...]]) -> Column:
+    """(t, s, n) for each occurrence of a rare word and each of its postings: where template t would start; sorted."""
+    by_word = F.create_map(*[x for w, p in index.items() for x in (F.lit(w), _literal(p))])
+    of = lambda h: F.transform(by_word[h["w"]], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["o"]).alias("s"), p["n"].alias("n")))
+    return F.array_sort(F.flatten(F.transform(rare, of)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None) -> DataFrame:
-    """One row per document: id, n_words, starts (per template, array of arrays), n_base, first_word, last_word, base_labels, labels, score.
+    """One row per document: id, n_words, starts (template and start of each occurrence), n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is 1 for a verified licence body or notice, 0.8 where only a licence's name (a base
-    phrase) stands, else 0.  Null and empty texts have no words, no labels (empty strings) and
-    score 0; repeated rows get a row each.
+    A document's words that are in the index are looked up there; the starts that all rare words
+    of a template agree on are the candidates, and there the template's mandatory phrases are
+    verified.  ``score`` is 1 for a verified licence body or notice, 0.8 where only a licence's
+    name (a base phrase) stands, else 0.  Null and empty texts have no words, no labels (empty
+    strings) and score 0; repeated rows get a row each.
     """
     templates = templates or index()
-    vocabulary = sorted({w for t in templates for w, _ in t.anchors})
+    by_word = postings(templates)
     words = docs.select(F.col(id_col), alnum_words(F.col(text_col)).alias("_words"))
-    rare = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
-    looked = words.select(id_col, "_words", rare.alias("_rare"))
-    starts = looked.select(
-        id_col, F.size("_words").cast("long").alias("n_words"),
-        F.when(F.size("_rare") > 0, F.array(*[_starts(t, F.col("_rare"), F.col("_words")) for t in templates])).alias("starts"),
-    )
-    at = {k: F.col("starts")[k] for k in range(len(templates))}
-    base = [k for k, t in enumerate(templates) if t.base]
-    here = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(at[k]) > 0, F.lit(templates[k].label)) for k in ks]), lambda x: x.isNotNull()))), ",")
-    places = F.concat(*[at[k] for k in base])
-    n_base = F.coalesce(F.when(F.col("starts").isNotNull(), F.size(places)), F.lit(0)).cast("long")
-    some = F.lit(False)
-    for k, t in enumerate(templates):
-        some = some | (F.size(at[k]) > 0) if not t.base else some
-    return starts.select(
-        id_col, "n_words", "starts", n_base.alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        F.coalesce(here(base), F.lit("")).alias("base_labels"), F.coalesce(here(range(len(templates))), F.lit("")).alias("labels"),
-        F.when(F.coalesce(some, F.lit(False)), 1.0).when(n_base > 0, 0.8).otherwise(0.0).alias("score"),
+    rare = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(list(by_word)), F.struct(i.alias("i"), w.alias("w")))), lambda h: h.isNotNull())
+    found = words.select(id_col, "_words", rare.alias("_rare")).select(id_col, "_words", F.when(F.size("_rare") > 0, _candidates(F.col("_rare"), by_word)).alias("_at"))
+    # Equal entries stand together: the n-th of a template with n rare words says that all agree.
+    agreed = F.filter(F.transform("_at", lambda x, i: F.when((i + 1 >= x["n"]) & (F.get("_at", i + 1 - x["n"]) == x), x)), lambda x: x.isNotNull())
+    phrases = _literal(tuple(tuple({"o": o, "w": tuple(p)} for o, p in t.phrases) for t in templates))
+    there = lambda x: F.forall(phrases[x["t"]], lambda p: F.slice(F.col("_words"), F.greatest(x["s"], F.lit(0)) + p["o"] + 1, F.size(p["w"])) == p["w"])
+    starts = F.transform(F.filter(agreed, lambda x: (x["s"] >= 0) & there(x)), lambda x: F.struct(x["t"].alias("template"), x["s"].alias("start")))
+    table = _literal(tuple({"label": t.label, "base": t.base} for t in templates))
+    known = found.select(id_col, F.size("_words").cast("long").alias("n_words"), F.coalesce(starts, F.array().cast("array<struct<template:int,start:int>>")).alias("starts"))
+    places = F.transform(F.filter("starts", lambda x: table[x["template"]]["base"]), lambda x: x["start"])
+    labels = lambda which: F.array_join(F.array_sort(F.array_distinct(F.transform(which, lambda x: table[x["template"]]["label"]))), ",")
+    body = F.exists("starts", lambda x: ~table[x["template"]]["base"])
+    return known.select(
+        id_col, "n_words", "starts", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        labels(F.filter("starts", lambda x: table[x["template"]]["base"])).alias("base_labels"), labels(F.col("starts")).alias("labels"),
+        F.when(body, 1.0).when(F.size(places) > 0, 0.8).otherwise(0.0).alias("score"),
     )
