@@ -51,8 +51,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     which makes inclusion probabilities unequal, up to ``most``.  They are scaled so that the
     expected words of the source are its target.  The fractional parts are drawn in the order of
     u / (1 - u) divided by p / (1 - p) until the source's words are as near to the target as
-    whole documents allow.  Documents without words are never taken.  Repeated rows are drawn
-    one by one; the same ``seed`` gives the same result.
+    whole documents allow.  Documents without words are never taken.  Repeated rows share their
+    random number and stand side by side in that order; the same ``seed`` gives the same result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_key(F.col(text_col)).alias("tk"), space_word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("level", F.floor(F.log2(F.col("size") + 1)).cast("int"))
