@@ -2,6 +2,7 @@
 
 import math
 import os
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -328,6 +329,50 @@ def test_subwords_in_bulk():
         assert [tuple(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] == [lm.subwords(w, lm.TOKENIZER) for w in ws]
 
 
+def test_one_odd_word_leaves_the_others_together(monkeypatch):
+    """Words that must be cut one by one do not make the plain words of a batch go one by one too."""
+    encoder, n = lm._encoder(lm.TOKENIZER)
+    asked = []
+
+    class Counting:
+        _mergeable_ranks = encoder._mergeable_ranks
+
+        def encode_ordinary(self, text):
+            asked.append(text)
+            return encoder.encode_ordinary(text)
+
+    texts = [[b"the", b"caf\xc3\xa9"], [], [b"x" * 500, b"12ab!", "a\u3000b".encode()], [b"of"] * 50]
+    want = [[lm.subwords(w, lm.TOKENIZER) for w in ws] for ws in texts]
+    monkeypatch.setattr(lm, "_encoder", lambda path: (Counting(), n))
+    got = lm.subwords_by_text(texts, lm.TOKENIZER)
+    assert [[tuple(x) for x in np.split(flat, np.cumsum(sizes)[:-1])] if len(sizes) else [] for flat, sizes in got] == want
+    assert len(asked) == 1 + 5 + 1  # the plain words at once, five pieces of the long one, one with a space of its own
+
+
+def test_words_of_a_worker_are_added_up():
+    texts = [b"the of the", b"", b" of \xc3\xbcber\tof ", b"y" * 300 + b" the"]
+    held = [lm._distinct(t) for t in texts]
+    words, counts = lm._added_up(held)
+    assert dict(zip((w.encode() for w in words.to_pylist()), counts.tolist(), strict=True)) == Counter(b" ".join(texts).split()) and not held
+    assert [len(x) for x in lm._added_up([lm._distinct(b" \n")])] == [0, 0]
+
+
+def test_counting_looks_no_beginnings_up(spark, monkeypatch):
+    """What follows what is counted without the tables that only probabilities need; a model that was sent keeps its numbers."""
+    shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=(4, 5, 6), block=7)
+    lexicon, model = small_model(spark, TINY, shape)
+    read = [as_read(lexicon, x) for x in [*TINY, "anblewhx unseen of the"]]
+    (whole,) = lexicon.tokens(read, 5)
+    sent = pickle.loads(pickle.dumps(model))
+    assert (sent.log10(whole) == model.log10(whole)).all() and (sent.follow == model.follow).all()
+    monkeypatch.setattr(lm.Nodes, "look", None)
+    (light,) = lexicon.tokens(read, 5, counts=False)
+    follows = [lm.Follow(shape), lm.Follow(shape)]
+    for f, t in zip(follows, (whole, light), strict=True):
+        f.read(t)
+    assert (follows[0].n == follows[1].n).all() and follows[0].n[0, :-1].sum() == whole.scored.sum()
+
+
 def test_toxicity_finds_held_out_words():
     rng = np.random.default_rng(2)
     vocabulary, bad = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], ["vexor", "vexil", "vexam", "grumble"]
