@@ -357,6 +357,13 @@ def test_words_of_a_worker_are_added_up():
     assert [len(x) for x in lm._added_up([lm._distinct(b" \n")])] == [0, 0]
 
 
+def test_long_words_with_equal_sums_are_told_apart():
+    bits = [i.bit_count() % 2 for i in range(2048)]
+    one, other = bytes(97 + x for x in bits), bytes(98 - x for x in bits)
+    words, counts = lm._added_up([lm._distinct(one + b" the"), lm._distinct(other + b" " + other)])
+    assert dict(zip((w.encode() for w in words.to_pylist()), counts.tolist(), strict=True)) == {one: 1, b"the": 1, other: 2}
+
+
 def test_counting_looks_no_beginnings_up(spark, monkeypatch):
     """What follows what is counted without the tables that only probabilities need; a model that was sent keeps its numbers."""
     shape = lm.Shape(window=5, width=4, embedded=8, single=12, shared=4, far=(4, 5, 6), block=7)
