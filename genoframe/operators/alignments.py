@@ -145,12 +145,16 @@ def window_depth(df: DataFrame, genome: DataFrame, width: int, **gates) -> DataF
     return by.select("chrom", (F.col("w") * width).alias("start"), "end", (F.col("b") / F.col("n")).alias("mean"))
 
 
-def quantized_depth(df: DataFrame, genome: DataFrame, edges: list[int], **gates) -> DataFrame:
-    """(chrom, start, end, bin): runs of depth in the same bin edges[i] <= depth < edges[i + 1]; outside depths are left out."""
+def quantized_depth(df: DataFrame, genome: DataFrame, edges: list[int | None], **gates) -> DataFrame:
+    """(chrom, start, end, bin): runs of depth in the same bin edges[i] <= depth < edges[i + 1]; outside depths are left out.
+
+    A last edge of None leaves the top bin open.
+    """
     every = genome_coverage(counted_reads(df, **gates), genome, "bga")
     b = F.lit(None).cast("int")
     for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        b = F.when((F.col("depth") >= lo) & (F.col("depth") < hi), i).otherwise(b)
+        inside = F.col("depth") >= lo
+        b = F.when(inside if hi is None else inside & (F.col("depth") < hi), i).otherwise(b)
     w = Window.partitionBy("chrom").orderBy("start")
     x = every.withColumn("bin", b).filter("bin is not null")
     fresh = (F.col("bin") != F.lag("bin").over(w)) | (F.col("start") != F.lag("end").over(w))

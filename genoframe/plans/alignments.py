@@ -44,7 +44,7 @@ def window_depth(spark, d):
 
 
 def quantized_depth(spark, d):
-    return A.quantized_depth(alignments(spark, d), _genome(spark), [0, 1, 4, 1000])
+    return A.quantized_depth(alignments(spark, d), _genome(spark), [0, 1, 4, None])
 
 
 def depth_distribution(spark, d):
