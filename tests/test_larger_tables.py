@@ -32,3 +32,23 @@ def check(spark, con, folder, name, sql):
 def test_quantized_depth_has_no_top(spark, tmp_path):
     con = tables(tmp_path, lineitem="SELECT l.* FROM (SELECT * FROM old_lineitem LIMIT 200) l, range(1200)")
     check(spark, con, tmp_path, "quantized_depth", registry.oracle_sql()["quantized_depth"])
+
+
+#: Ids of line items in 128 bits, as DuckDB's 64 overflow from orders of 1.4 million on; the rest of the SQL is as registered.
+WIDE = ("(l_orderkey * 10 + l_linenumber) * 1000000", "(l_orderkey::HUGEINT * 10 + l_linenumber) * 1000000")
+
+
+@pytest.fixture(scope="module")
+def high(tmp_path_factory):
+    """The smallest tables, and half of the line items with orders that 64 bits of an id can't hold; the remainders that make chromosomes stay."""
+    folder = tmp_path_factory.mktemp("high")
+    return folder, tables(folder, lineitem="SELECT * REPLACE (l_orderkey + CASE WHEN l_orderkey % 2 = 0 THEN 9000000 ELSE 0 END AS l_orderkey) FROM old_lineitem")
+
+
+@pytest.mark.parametrize("name", [
+    "make_windows",
+])
+def test_ids_of_more_than_64_bits(name, spark, high):
+    sql = registry.oracle_sql()[name]
+    assert WIDE[0] in sql
+    check(spark, high[1], high[0], name, sql.replace(*WIDE))
