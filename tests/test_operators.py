@@ -253,3 +253,19 @@ def test_unexamined_reads_are_no_duplicates(spark):
     rows = [(k, f"q{k}", 4, None, None, 0) for k in range(5)] + [(k, f"q{k}", 0, "c", 7, k) for k in (10, 11)]
     df = spark.createDataFrame(rows, "id long, qname string, flag int, rname string, start5 long, score long")
     assert {r["id"] for r in alignments.mark_duplicates(df).filter("is_duplicate").collect()} == {10}
+
+
+@pytest.mark.parametrize("tile", [16, 1 << 20])
+def test_hits_are_counted_without_pairs(spark, tile, monkeypatch):
+    monkeypatch.setattr(overlap, "TILE", tile)
+    rng = np.random.default_rng(6)
+    make = lambda n: ivs(spark, *[("ab"[int(rng.integers(2))], int(s), int(s + rng.integers(0, 12)), ".") for s in rng.integers(0, 90, n)], (None, 5, 9, "."), ("z", None, 4, "."), ("only" + str(n), 1, 9, "."))
+    a, b = make(70), make(50)
+    want = {r["id"]: 0 for r in a.collect()}
+    for r in overlap.overlap_pairs(a.filter("start is not null"), b.filter("start is not null"), 16).collect():
+        want[r["a_id"]] += 1
+    got = overlap.intersect(a, b, "count")
+    assert {r["id"]: r["hits"] for r in got.collect()} == want and got.count() == a.count()
+    assert sorted(r["id"] for r in overlap.intersect(a, b, "semi").collect()) == sorted(k for k, n in want.items() if n)
+    assert sorted(r["id"] for r in overlap.intersect(a, b, "anti").collect()) == sorted(k for k, n in want.items() if not n)
+    assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()  # no bins, and so no pairs
