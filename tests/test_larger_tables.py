@@ -49,7 +49,7 @@ def high(tmp_path_factory):
     "make_windows", "flank_intervals", "block_intervals", "make_windows_number", "alignment_view", "alignment_fastq",
     "consecutive_groups", "fix_mates", "left_overlap", "fraction_overlap", "either_fraction_overlap", "block_overlap",
     "closest_intervals", "closest_first", "coverage_depth", "coverage_histogram", "closest_three", "cluster_intervals",
-    "anti_overlap", "count_overlap", "annotate",
+    "anti_overlap", "count_overlap", "annotate", "coverage",
 ])
 def test_ids_of_more_than_64_bits(name, spark, high):
     sql = registry.oracle_sql()[name]
